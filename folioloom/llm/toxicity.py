@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,10 @@ BUCKETS = 1 << 18
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
+PREFIXES = (4, 5, 6)
+LEVELS = (2, 3, 5)
+#: Standard errors by which a bucket's share of positives must exceed its share of unlabelled texts.
+CLEARLY = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -33,8 +38,21 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
+def stems(word: str) -> list[int]:
+    """Hashes of the beginnings that inflected and compound forms of a word share."""
+    return [bucket(f"^{word[:k]}") for k in PREFIXES if len(word) >= k]
+
+
+def at_level(stem: int, level: int) -> int:
+    """Bucket for at least ``level`` different words with one beginning."""
+    return (stem * 0x9E3779B1 + level * 0x85EBCA6B) >> 7 & (BUCKETS - 1)
+
+
 def text_buckets(text: str | None) -> list[int]:
-    return sorted({bucket(w) for w in set(_WORD.findall((text or "").lower()))})
+    """Buckets of a text's distinct words and of the beginnings that several of them share."""
+    words = set(_WORD.findall((text or "").lower()))
+    shared = Counter(j for w in words for j in stems(w))
+    return sorted({bucket(w) for w in words} | {at_level(j, n) for j, m in shared.items() for n in LEVELS if m >= n})
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -48,13 +66,14 @@ def _rows(samples: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((j for x in samples for j in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(samples)), sizes)
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, steps: int = 150, rate: float = 0.1, l1: float = 2e-4, support: int = 3) -> Model:
+def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, steps: int = 150, rate: float = 0.1, l1: float = 1e-3, support: int = 3) -> Model:
     """Linear model that minimises the non-negative PU risk with the logistic loss.
 
     risk = prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]); while the
-    second term is negative, its gradient is followed upwards, so that the
-    model does not gain by calling every unlabelled text clean.  Buckets seen
-    in fewer than ``support`` positives get no weight.  Without positives, or
+    second term is negative it counts as zero and has no gradient, so that the
+    model does not gain by calling every unlabelled text clean.  Only buckets
+    that at least ``support`` positives have, clearly oftener than unlabelled
+    texts, get weights.  Without positives, or
     with a prior of zero, every score is near zero.
     """
     if not positive or not unlabelled or prior <= 0:
@@ -62,12 +81,14 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, st
     pc, pr = _rows(positive)
     uc, ur = _rows(unlabelled)
     seen = np.bincount(pc, minlength=BUCKETS)
-    kept = np.nonzero(seen >= min(support, max(1, len(positive) // 4)))[0]
+    share, among = seen / len(positive), np.bincount(uc, minlength=BUCKETS) / len(unlabelled)
+    noise = np.sqrt((among + 1 / len(unlabelled)) * (1 / len(positive) + 1 / len(unlabelled)))
+    kept = np.nonzero((seen >= min(support, max(1, len(positive) // 4))) & (share - among > CLEARLY * noise))[0]
     place = np.full(BUCKETS, -1, np.int64)
     place[kept] = np.arange(len(kept))
     pr, pc = pr[place[pc] >= 0], place[pc][place[pc] >= 0]
     ur, uc = ur[place[uc] >= 0], place[uc][place[uc] >= 0]
-    n_p, n_u = len(positive), len(unlabelled)
+    n_p, n_u, l2 = len(positive), len(unlabelled), 1e-3 + 0.1 / len(positive)
     w, b = np.zeros(len(kept)), float(np.log(prior / (1 - min(prior, 0.99))))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -77,8 +98,8 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, st
         sp, su = sigmoid(fp), sigmoid(fu)
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         gp_pos, g_neg_p, g_neg_u = prior * (sp - 1) / n_p, -prior * sp / n_p, su / n_u
-        gp, gu = (gp_pos + g_neg_p, g_neg_u) if negative >= 0 else (-g_neg_p, -g_neg_u)
-        g = np.bincount(pc, gp[pr], len(w)) + np.bincount(uc, gu[ur], len(w))
+        gp, gu = (gp_pos + g_neg_p, g_neg_u) if negative >= 0 else (gp_pos, 0 * g_neg_u)
+        g = np.bincount(pc, gp[pr], len(w)) + np.bincount(uc, gu[ur], len(w)) + l2 * w
         gb = float(gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -92,18 +113,20 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, st
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
     weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
-    known: dict[str, int] = {}
+    known: dict[str, tuple[int, list[int]]] = {}
     out = np.empty(len(texts))
     for i, text in enumerate(texts):
-        hit = set()
+        hit, shared = set(), []
         for word in set(_WORD.findall((text or "").lower())):
-            j = known.get(word)
-            if j is None:
-                j = bucket(word)
-                known[word] = j = j if j in weight else -1
-            if j >= 0:
-                hit.add(j)
-        out[i] = model.bias + sum(weight[j] for j in sorted(hit))
+            found = known.get(word)
+            if found is None:  # most words have no weight
+                j, roots = bucket(word), [x for x in stems(word) if any(at_level(x, n) in weight for n in LEVELS)]
+                known[word] = found = (j if j in weight else -1, roots) if j in weight or roots else ()
+            if found:
+                hit.add(found[0])
+                shared += found[1]
+        hit.update(at_level(j, n) for j, m in Counter(shared).items() for n in LEVELS if m >= n)
+        out[i] = model.bias + sum(weight.get(j, 0.0) for j in sorted(hit))
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
