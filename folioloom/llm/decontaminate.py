@@ -12,7 +12,6 @@ shingles themselves.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,8 @@ SHINGLE, CONTAINMENT = 5, 0.8
 MAX_BROADCAST_CHARS = 32_000_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-PAIRS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType())])
+FOUND_FIELDS = ["item_id", "n_shared", "n_item"]
+FOUND = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in FOUND_FIELDS]))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -160,19 +160,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINME
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    found = _search(rows, share, max_chars)
+    if found is None:
+        return _joined(texts, rows, share)
+    return texts.select("doc_id", F.explode(found("text")).alias("f")).select("doc_id", "f.*")
+
+
+def _search(rows: DataFrame, share: float, max_chars: int):
+    """A UDF from text to array<struct<item_id, n_shared, n_item>>; None if the test set is over ``max_chars``."""
     size = rows.agg(F.coalesce(F.sum(F.length("text") + 50), F.lit(0))).first()[0]
     if size > max_chars:
-        return _joined(texts, rows, share)
-    items = docs.sparkSession.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")), share))
+        return None
+    items = rows.sparkSession.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")), share))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(FOUND)
+    def found(texts: pd.Series) -> pd.Series:
         hasher, held = Hasher(), items.value
-        for batch in batches:
-            found = [(doc, *pair) for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"]) for pair in held.found_in(text, hasher)]
-            out = pd.DataFrame(found, columns=PAIRS.names)
-            yield out.astype({"doc_id": "Int64", "item_id": "Int64", "n_shared": "int64", "n_item": "int64"})
+        return pd.Series([[dict(zip(FOUND_FIELDS, x)) for x in held.found_in(t, hasher)] for t in texts])
 
-    return texts.mapInPandas(search, PAIRS)
+    return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT, max_chars: int = MAX_BROADCAST_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no test item; null texts stay."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    found = _search(rows, share, max_chars)
+    if found is not None:
+        return docs.where(F.size(found("text")) == 0)
+    bad = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, share).select("doc_id").distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
 
 
 ORACLE = r"""

@@ -154,3 +154,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     roots = components(edges)
     classes = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id.
+
+    Of rows with one id, one stays.  Rows without an id stay, one for each
+    fingerprint, where no row with an id has that fingerprint.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+    known = fingerprints(docs.where("doc_id is not null").select("text")).select(F.col("fp").alias("_fp")).distinct()
+    rest = fingerprints(nameless, to="_fp").dropDuplicates(["_fp"]).join(known, "_fp", "left_anti")
+    return out.unionByName(rest.select(*docs.columns))
