@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pii, quality, repair, simhash, toxicity, trie_bpe, url_lists
+from . import chat, decontaminate, pii, quality, repair, simhash, suffix_dedup, toxicity, trie_bpe, url_lists
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filtered_pages(_read(spark, sf_dir, "pages"), url_lists.entries(spark))
 
@@ -59,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality_rules, op5_url_lists, op6_decontamination, op7_trie_bpe, op8_token_files, op9_chat, op10_pii)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality_rules, op4_suffix_dedup, op5_url_lists, op6_decontamination, op7_trie_bpe, op8_token_files, op9_chat, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
