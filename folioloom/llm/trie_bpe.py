@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of what a worker remembers between batches; tables over them are emptied and refilled.
-MAX_CHUNKS, MAX_WORDS, MAX_PAIRS = 400_000, 400_000, 1_000_000
+#: Bounds of what a worker remembers between batches: a table over its bound becomes the old one, whose entries return when asked for.
+MAX_CHUNKS, MAX_WORDS, MAX_PAIRS = 300_000, 300_000, 1_000_000
 #: Characters of the texts that share one walk of the trie.
 GROUP_CHARS = 12_000_000
 #: The normalizer under which a run of letters is one word, and the byte alphabet of byte-level models.
@@ -54,10 +54,17 @@ class TrieCodec:
             self.join[left, right] = r
             if made not in self.parts:
                 self.parts[made], self.rank[made] = (left, right), r
-        self.longest = max(map(len, self.vocab))
+        #: The length of the longest token that starts with two characters.
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            n = len(t) - len(self.end) if self.end and t.endswith(self.end) else len(t)
+            self.reach[t[:2]] = max(n, self.reach.get(t[:2], 2))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, list[int]] = {}
         self.words: dict[str, list[int]] = {}
+        self.old_chunks: dict[str, list[int]] = {}
+        self.old_words: dict[str, list[int]] = {}
+        self.numeral = {i: str(i) for i in self.token}
         #: The short way of _split is for lower-cased letter runs in the byte alphabet.
         self.plain = spec["normalizer"] == PLAIN_NORMALIZER and r"[\p{L}]+" in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
         self.single: dict[int, bool] = {}
@@ -136,18 +143,22 @@ class TrieCodec:
         out: dict[str, list[int]] = {}
         last: list[int] = []  # of the prefix of each length on the path, its last token
         start: list[int] = []  # and where that token starts
+        until: list[int] = []  # and where the longest token from each place ends
         before = ""
-        vocab, end, longest = self.vocab, self.end, self.longest
+        vocab, end, reach = self.vocab, self.end, self.reach
         may_follow, stands = self.may_follow, self.single
         for word in sorted(words):
             n = len(word)
             shared, limit = 0, min(len(last), n - 1)
             while shared < limit and before[shared] == word[shared]:
                 shared += 1
-            del last[shared:], start[shared:]
+            del last[shared:], start[shared:], until[max(0, shared - 1) :]
+            until += [at + reach.get(word[at : at + 2], 1) for at in range(len(until), n)]
             for stop in range(shared + 1, n + 1):
                 suffix = end if stop == n else ""
-                for at in range(stop - longest if stop > longest else 0, stop):
+                for at in range(stop):
+                    if until[at] < stop:
+                        continue
                     token = vocab.get(word[at:stop] + suffix)
                     if token is not None and (stands[token] if token in stands else self.stands(token)) and (not at or may_follow(last[at - 1], token)):
                         break
@@ -179,9 +190,16 @@ class TrieCodec:
         """Adds the encodings of chunks (pieces of text without blanks or added tokens)."""
         split = {c: self._split(c) for c in new}
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        words = self.words
-        words.update(self.encode_words({w for ws in split.values() for w in ws if w not in words}))
+            self.words, self.old_words = {}, self.words
+        words, old, fresh = self.words, self.old_words, set()
+        for ws in split.values():
+            for w in ws:
+                if w not in words:
+                    if w in old:
+                        words[w] = old[w]
+                    else:
+                        fresh.add(w)
+        words.update(self.encode_words(fresh))
         for c, ws in split.items():
             self.chunks[c] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
 
@@ -195,9 +213,12 @@ class TrieCodec:
         need = {c for spans in pieces for s in spans if isinstance(s, list) for c in s}
         need.discard("")
         if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
-        chunks = self.chunks
-        self._learn({c for c in need if c not in chunks})
+            self.chunks, self.old_chunks = {}, self.chunks
+        chunks, old = self.chunks, self.old_chunks
+        need = {c for c in need if c not in chunks}
+        kept = {c: old[c] for c in need if c in old}
+        chunks.update(kept)
+        self._learn(need.difference(kept))
         out: list[list[int]] = []
         for spans in pieces:
             ids: list[int] = []
@@ -273,7 +294,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
         c, rows = codec(path), []
         for group in grouped(texts):
             for ids in c.encode_batch(group):
-                rows.append((len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
+                rows.append((len(ids), sha256(" ".join([c.numeral[i] for i in ids]).encode()).hexdigest(), sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
         return pd.DataFrame(rows, columns=DIGESTS.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digests("text").alias("d")).select("doc_id", "d.*")
