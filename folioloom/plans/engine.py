@@ -8,6 +8,7 @@ generator plug-in once for all prompts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -68,18 +69,24 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), generate: Callable[[pd.Series], pd.Series] = grounded_stub, embed=None) -> None:
         self.spark, self.store, self.settings, self.generate, self.embed = spark, Store(spark, root), settings, generate, embed
 
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written under the store's work folder and read again: later steps start from a table, not from the whole plan."""
+        path = f"{self.store.root}/_work/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     # -- ingest
 
     def ingest(self, lines: DataFrame, bookmarks: DataFrame | None = None) -> DataFrame:
         """Derives all tables of the documents in ``lines``; returns (doc, pages, chunks, sections, units)."""
         s = self.settings
         total = lines.groupBy("doc").agg(F.count_distinct("page").alias("page_count"))
-        clean = L.without_running_lines(Y.table_rows(lines)).cache()
-        contents = L.contents_pages(clean).cache()
-        par = Y.paragraphs(clean).cache()
-        pages = Y.page_text(par).cache()
+        clean = self._kept(L.without_running_lines(Y.table_rows(lines)))
+        contents = self._kept(L.contents_pages(clean))
+        par = self._kept(Y.paragraphs(clean))
+        pages = self._kept(Y.page_text(par))
         outline = O.outline(pages, Y.headings(par, contents), bookmarks)
-        sections = D.sections(outline, pages, L.contents_numbers(pages, contents), total).cache()
+        sections = self._kept(D.sections(outline, pages, L.contents_numbers(pages, contents), total))
         no_list = contents.withColumnRenamed("page", "_p").withColumnRenamed("doc", "_d")
         plain = par.join(no_list, (F.col("doc") == F.col("_d")) & (F.col("page") == F.col("_p")), "left_anti")
         found = L.dedupe_captions(L.captions(plain.where("NOT heading AND NOT is_table")))
@@ -136,10 +143,10 @@ class Engine:
         """(doc, query_id, pos) that each open question is answered from, none where the evidence is too weak; and the ranks of hits among them."""
         s, entries = self.settings, self.entries()
         intent = F.col("intent")
-        found = self.hits(plan.where(intent.isin("qa", "scoped_qa")), s.top_k).cache()
+        found = self._kept(self.hits(plan.where(intent.isin("qa", "scoped_qa")), s.top_k))
         good = S.has_evidence(found, s.min_similarity).where("evidence").select("doc", "query_id")
         wide = plan.where(intent == "qa").join(good, ["doc", "query_id"], "left_semi")
-        best = C.interleave(found.join(wide.select("doc", "query_id"), ["doc", "query_id"], "left_semi"), 3 * s.top_k).withColumnRenamed("order", "rank")
+        best = self._kept(C.interleave(found.join(wide.select("doc", "query_id"), ["doc", "query_id"], "left_semi"), 3 * s.top_k).withColumnRenamed("order", "rank"))
         qa = C.expand(best, entries, s.qa_chars, 3 * s.top_k, s.qa_chars // 2)
         roles = C.budgeted(self.scope(plan.where(intent == "qa"), "role_sections"), entries, int(s.qa_chars * 0.4))
         whole = C.budgeted(self.scope(plan.where(intent.isin("explain", "compare", "scoped_qa"))), entries, s.explain_chars)
@@ -151,12 +158,12 @@ class Engine:
         out = qa
         for rows in (roles, whole, by_page, overview):
             out = out.unionByName(rows.select("doc", "query_id", "pos"))
-        return out.distinct(), best
+        return self._kept(out.distinct()), best
 
     def locate(self, plan: DataFrame) -> DataFrame:
         """(doc, query_id, answer): which sections discuss a topic, best first, each with a quoted sentence."""
         s, asked = self.settings, plan.where("intent = 'locate'")
-        found = self.hits(asked, 12).where("list = 0")
+        found = self._kept(self.hits(asked, 12).where("list = 0"))
         good = S.has_evidence(found, s.min_similarity).where("evidence").select("doc", "query_id")
         strong = (F.col("coverage") >= 0.5) | (F.coalesce("similarity", F.lit(0.0)) >= s.min_similarity + 0.05)
         sections = self.store.read("sections").select(F.col("doc").cast("string").alias("doc"), F.col("idx").alias("section"), "title", "matter")
@@ -175,16 +182,17 @@ class Engine:
 
     def ask(self, questions: DataFrame) -> DataFrame:
         """(doc, turn, intent, answer, sources) of ``questions`` (doc, turn, text)."""
-        plan = self.plan(questions).cache()
+        plan = self._kept(self.plan(questions))
         direct = plan.where("direct.answer IS NOT NULL").select("doc", "turn", "intent", F.col("direct.answer").alias("answer"), F.col("direct.sources").alias("sources"))
         located = self.locate(plan).select("doc", F.col("query_id").alias("turn"), F.lit("locate").alias("intent"), "answer", F.array().cast(direct.schema["sources"].dataType).alias("sources"))
         chosen, best = self.evidence(plan)
-        items = C.by_relevance(C.excerpts(chosen, self.entries()), best).cache()
+        items = self._kept(C.by_relevance(C.excerpts(chosen, self.entries()), best))
         context, sources = C.render(items, "order"), C.sources(items, "order")
         length = F.when(F.col("detail") == "brief", LENGTHS["brief"][1]).when(F.col("detail") == "detailed", LENGTHS["detailed"][1]).otherwise(LENGTHS["normal"][1])
         prompt = F.concat(F.lit("PDF excerpts:\n\n"), "context", F.lit("\n\nQuestion: "), "text", F.lit("\n"), length)
         call = F.pandas_udf(self.generate, T.StringType())
         open_ = plan.where("direct.answer IS NULL AND intent <> 'locate'").join(context, ["doc", "query_id"]).withColumn("answer", call(prompt))
+        open_ = self._kept(open_)
         cited = A.finalize_sources(open_, sources)
         listed = cited.groupBy("doc", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "i", F.col("page").cast("int").alias("page"), "text"))), lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"))).alias("sources"))
         written = open_.join(listed, ["doc", "query_id"], "left").select("doc", "turn", "intent", "answer", "sources")
