@@ -622,3 +622,84 @@ def previous_question(spark, sf):
 def metadata_json(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
     return e.select("event_id", "key", "value")
+
+
+# ---- whole steps of the engine, on lines made from the driver tables
+
+
+def laid_out(spark, sf):
+    """``pages`` as laid-out lines: block elements in reading order, headings larger, ten pages to a document."""
+    pattern = F.lit("<(h1|h2|p|li|b)[^>]*>([^<]+)<")
+    found = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("tag"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("text"))
+    rows = read(spark, sf, "pages").select("page_id", F.posexplode(found).alias("seq", "x")).where("trim(x.text) <> ''")
+    size = F.when(F.col("x.tag") == "h1", 18.0).when(F.col("x.tag") == "h2", 14.0).otherwise(11.0)
+    rows = rows.select(F.expr("cast(page_id div 10 AS string)").alias("doc"), F.expr("cast(page_id % 10 + 1 AS int)").alias("page"), "seq", F.trim("x.text").alias("text"), size.alias("size"), (F.col("x.tag").isin("h1", "h2", "b")).alias("bold"))
+    y = 80 + 20.0 * F.col("seq")
+    return rows.select("*", F.col("seq").alias("block"), F.lit(1).cast("long").alias("block_lines"), F.lit(72.0).alias("x0"), y.alias("y0"), (72 + 5.5 * F.length("text")).alias("x1"), (y + 12).alias("y1"), F.lit(595.0).alias("page_width"), F.lit(10000.0).alias("page_height"), F.lit(False).alias("is_table"))
+
+
+def _paragraphs(spark, sf):
+    from ..operators import layout as Y
+
+    return Y.paragraphs(Y.table_rows(laid_out(spark, sf)))
+
+
+@query()
+def layout_paragraphs(spark, sf):
+    return _paragraphs(spark, sf).select("doc", "page", "n", "offset", "text", "heading")
+
+
+def _document_sections(spark, sf):
+    from ..operators import layout as Y
+    from ..operators import outline as O
+    from ..operators import sections as N
+
+    par = _paragraphs(spark, sf)
+    pages = Y.page_text(par)
+    return pages, N.sections(O.outline(pages, Y.headings(par)), pages)
+
+
+@query()
+def structure_sections(spark, sf):
+    return _document_sections(spark, sf)[1].select("doc", "idx", "title", "name", "level", "page_start", "page_end", "parent", "number", "roles", "ordinal", "unit_noun")
+
+
+@query()
+def chunks(spark, sf):
+    """Chunks of whole documents of one page each."""
+    from ..operators import layout as Y
+
+    pages = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), "text")
+    none = spark.createDataFrame([], "doc string, page_start int, offset int, idx int")
+    return Y.chunks(pages, none).select("doc", "pos", "id", "start", "end", "text")
+
+
+@query()
+def route_intents(spark, sf):
+    """Routes of all user turns; the document is that of the thread, without an outline."""
+    from ..operators import routing as R
+
+    asked = read(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc"), "turn", "text")
+    none = spark.createDataFrame([], "doc long, structure string")
+    return R.route_questions(asked, none).select(F.col("doc").alias("conv_id"), "turn", "intent", "mode", "detail")
+
+
+@query()
+def filtered_answers(spark, sf):
+    """All assistant turns through the plain-text filter and the loop guard, word by word."""
+    from ..streaming.filters import filtered
+
+    t = read(spark, sf, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.posexplode(F.split("text", "(?<= )")).alias("seq", "token"))
+    return filtered(t)
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, 'Said on [Page ' || (turn + 1) || '] and [Pages ' || (turn + 3) || '–' || (turn + 5) || '].' AS answer, turn FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, unnest([turn + 1, turn + 3, turn + 4, turn + 5])::INT AS page FROM s"""
+)
+def cited_pages(spark, sf):
+    from ..operators.answers import cited_pages as cited
+
+    s = read(spark, sf, "conversations").where("role = 'assistant'")
+    said = F.concat(F.lit("Said on [Page "), F.col("turn") + 1, F.lit("] and [Pages "), F.col("turn") + 3, F.lit("–"), F.col("turn") + 5, F.lit("]."))
+    return s.select("conv_id", "turn", F.explode(cited(said)).alias("page"))
