@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stage import batches_of
+
 SHINGLE, CONTAINMENT = 5, 0.8
+#: Texts in a batch between Spark and Python.
+BATCH = 1000
 #: Largest test set, in characters, that is sent to all executors; a larger one is joined by shuffles.
 MAX_BROADCAST_CHARS = 32_000_000
 _WORD = re.compile(r"\w+")
@@ -46,7 +50,7 @@ def item_shingles(text: str | None) -> tuple[int, set[str]]:
 class Hasher:
     """Shingle hashes from word hashes, vectorised; the word table is cleared when it grows large."""
 
-    def __init__(self, bound: int = 400_000) -> None:
+    def __init__(self, bound: int = 100_000) -> None:
         self.known: dict[str, int] = {}
         self.bound = bound
 
@@ -163,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINME
     found = _search(rows, share, max_chars)
     if found is None:
         return _joined(texts, rows, share)
-    return texts.select("doc_id", F.explode(found("text")).alias("f")).select("doc_id", "f.*")
+    return batches_of(texts, BATCH).select("doc_id", F.explode(found("text")).alias("f")).select("doc_id", "f.*")
 
 
 def _search(rows: DataFrame, share: float, max_chars: int):
@@ -186,7 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT, max
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     found = _search(rows, share, max_chars)
     if found is not None:
-        return docs.where(F.size(found("text")) == 0)
+        return batches_of(docs, BATCH).where(F.size(found("text")) == 0)
     bad = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, share).select("doc_id").distinct()
     return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
 

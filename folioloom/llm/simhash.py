@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .stage import cut
+from .stage import batches_of, cut
 
 RADIUS = 3
 #: Buckets of more distinct fingerprints are hashed again on the bits their key leaves free.
 BUCKET = 1024
+#: Texts in a batch between Spark and Python.
+BATCH = 1000
 LINKS = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BREAKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -44,7 +46,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
     """``docs`` with the signed form of each text's fingerprint; null and blank texts have zero."""
-    return docs.withColumn(to, _fingerprints(F.col(text)))
+    return batches_of(docs, BATCH).withColumn(to, _fingerprints(F.col(text)))
 
 
 def covering_masks(free: int, radius: int = RADIUS) -> list[int]:

@@ -36,3 +36,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def batches_of(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, from now on handed to Python in batches of ``rows``: whole texts are long, and both sides hold a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stage import batches_of
+
 BUCKETS = 1 << 18
 #: Bounds of the training sample: confirmed toxic rows and unlabelled texts, smallest hash of the id first.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
+#: Texts in a batch between Spark and Python.
+BATCH = 1000
 PREFIXES = (4, 5, 6)
 LEVELS = (2, 3, 5)
+#: Words whose buckets a worker remembers at most.
+MAX_KNOWN = 150_000
 #: Standard errors by which a bucket's share of positives must exceed its share of unlabelled texts.
 CLEARLY = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -116,6 +122,8 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
     known: dict[str, tuple[int, list[int]]] = {}
     out = np.empty(len(texts))
     for i, text in enumerate(texts):
+        if len(known) > MAX_KNOWN:
+            known.clear()
         hit, shared = set(), []
         for word in set(_WORD.findall((text or "").lower())):
             found = known.get(word)
@@ -152,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chosen_p = marks.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
     chosen_u = ids.orderBy(order, "doc_id").limit(MAX_UNLABELLED).distinct().select("doc_id", F.lit(False).alias("positive"))
     chosen = F.broadcast(chosen_p.unionByName(chosen_u))
-    got = texts.join(chosen, "doc_id").select("positive", "doc_id", _buckets("text").alias("x")).collect()
+    got = batches_of(texts, BATCH).join(chosen, "doc_id").select("positive", "doc_id", _buckets("text").alias("x")).collect()
     got.sort(key=lambda r: (r.positive, r.doc_id, r.x))
     return fit([r.x for r in got if r.positive], [r.x for r in got if not r.positive], (n_toxic or 0) / n if n else 0.0)
 
@@ -164,7 +172,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "sc
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series(scores(list(texts), model))
 
-    return docs.withColumn(score, udf(F.col(text)))
+    return batches_of(docs, BATCH).withColumn(score, udf(F.col(text)))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

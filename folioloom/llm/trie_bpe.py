@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Bounds of what a worker remembers between batches: a table over its bound becomes the old one, whose entries return when asked for.
 MAX_CHUNKS, MAX_WORDS, MAX_PAIRS = 300_000, 300_000, 1_000_000
+#: The same where other work shares the workers: what a column of ids is made with, and forgotten after each task.
+FEW_CHUNKS, FEW_WORDS = 50_000, 100_000
 #: Characters of the texts that share one walk of the trie.
 GROUP_CHARS = 12_000_000
 #: The normalizer under which a run of letters is one word, and the byte alphabet of byte-level models.
@@ -32,9 +34,10 @@ BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b
 class TrieCodec:
     """Encoder and decoder of a ``tokenizers`` file with a BPE model that marks word ends."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, max_chunks: int | None = None, max_words: int | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.max_chunks, self.max_words = max_chunks or MAX_CHUNKS, max_words or MAX_WORDS
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -69,6 +72,11 @@ class TrieCodec:
         self.plain = spec["normalizer"] == PLAIN_NORMALIZER and r"[\p{L}]+" in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
         self.single: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Empties all tables that grow."""
+        for table in (self.chunks, self.old_chunks, self.words, self.old_words, self.pairs):
+            table.clear()
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of both tokens' text is these two tokens.
 
@@ -189,7 +197,7 @@ class TrieCodec:
     def _learn(self, new: set[str]) -> None:
         """Adds the encodings of chunks (pieces of text without blanks or added tokens)."""
         split = {c: self._split(c) for c in new}
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > self.max_words:
             self.words, self.old_words = {}, self.words
         words, old, fresh = self.words, self.old_words, set()
         for ws in split.values():
@@ -212,7 +220,7 @@ class TrieCodec:
             pieces.append([s if s in self.added else s.replace("\n", " ").split(" ") for s in spans if s])
         need = {c for spans in pieces for s in spans if isinstance(s, list) for c in s}
         need.discard("")
-        if len(self.chunks) > MAX_CHUNKS:
+        if len(self.chunks) > self.max_chunks:
             self.chunks, self.old_chunks = {}, self.chunks
         chunks, old = self.chunks, self.old_chunks
         need = {c for c in need if c not in chunks}
@@ -252,17 +260,22 @@ def grouped(texts: pd.Series) -> Iterator[list[str | None]]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> TrieCodec:
+def codec(path: str, max_chunks: int | None = None, max_words: int | None = None) -> TrieCodec:
     """One codec per worker process and file."""
-    return TrieCodec(path)
+    return TrieCodec(path, max_chunks, max_words)
 
 
 def encode(text: Column | str, path: str) -> Column:
     """array<int> of the ids of a text column; null and empty texts have none."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([ids for group in grouped(texts) for ids in codec(path).encode_batch(group)])
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = codec(path, FEW_CHUNKS, FEW_WORDS)
+        try:
+            for texts in batches:
+                yield pd.Series([ids for group in grouped(texts) for ids in c.encode_batch(group)])
+        finally:
+            c.forget()
 
     return udf(text)
 
@@ -272,12 +285,32 @@ def decode(ids: Column | str, path: str) -> Column:
 
     @F.pandas_udf(T.StringType())
     def udf(rows: pd.Series) -> pd.Series:
-        c = codec(path)
+        c = codec(path, FEW_CHUNKS, FEW_WORDS)
         return rows.map(lambda x: c.decode([] if x is None else list(x)))
 
     return udf(ids)
 
 
+ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+
+
+def round_trip(text: Column | str, path: str) -> Column:
+    """struct<ids, decoded_sha256>: ids of a text column and the digest of what they decode to, in one worker per task."""
+    from hashlib import sha256
+
+    @F.pandas_udf(ROUND_TRIP)
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path, FEW_CHUNKS, FEW_WORDS)
+        try:
+            for texts in batches:
+                rows = [(ids, sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()) for group in grouped(texts) for ids in c.encode_batch(group)]
+                yield pd.DataFrame(rows, columns=ROUND_TRIP.names)
+        finally:
+            c.forget()
+
+    return udf(text)
+
+
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
