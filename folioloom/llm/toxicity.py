@@ -66,10 +66,10 @@ def _buckets(texts: pd.Series) -> pd.Series:
     return texts.map(text_buckets)
 
 
-def _rows(samples: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(samples: list) -> tuple[np.ndarray, np.ndarray]:
     """Active columns of all rows, and the row of each."""
     sizes = np.fromiter((len(x) for x in samples), np.int64, len(samples))
-    return np.fromiter((j for x in samples for j in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(samples)), sizes)
+    return np.concatenate([np.asarray(x, np.int64) for x in samples]), np.repeat(np.arange(len(samples)), sizes)
 
 
 def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, steps: int = 150, rate: float = 0.1, l1: float = 1e-3, support: int = 3) -> Model:
@@ -160,9 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chosen_p = marks.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
     chosen_u = ids.orderBy(order, "doc_id").limit(MAX_UNLABELLED).distinct().select("doc_id", F.lit(False).alias("positive"))
     chosen = F.broadcast(chosen_p.unionByName(chosen_u))
-    got = batches_of(texts, BATCH).join(chosen, "doc_id").select("positive", "doc_id", _buckets("text").alias("x")).collect()
-    got.sort(key=lambda r: (r.positive, r.doc_id, r.x))
-    return fit([r.x for r in got if r.positive], [r.x for r in got if not r.positive], (n_toxic or 0) / n if n else 0.0)
+    got = batches_of(texts, BATCH).join(chosen, "doc_id").select("positive", "doc_id", _buckets("text").alias("x")).toArrow()
+    marked, sets = got["positive"].to_numpy(), got["x"].combine_chunks()
+    edges, values = (sets.offsets.to_numpy(), sets.values.to_numpy()) if len(sets) else (np.zeros(1, int), np.empty(0, int))
+    order = np.lexsort((np.diff(edges), got["doc_id"].to_numpy()))
+    rows = lambda wanted: [values[edges[i] : edges[i + 1]] for i in order if marked[i] == wanted]
+    return fit(rows(True), rows(False), (n_toxic or 0) / n if n else 0.0)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
