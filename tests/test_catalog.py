@@ -2,6 +2,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from folioloom.plans import catalog
@@ -19,7 +21,11 @@ def oracle():
 
 
 def rows(frame):
-    cell = lambda x: f"{x:.6g}" if isinstance(x, float) else str(x)
+    def cell(x):
+        if isinstance(x, (bool, np.bool_, str, list, np.ndarray)):
+            return str(x)
+        return "null" if pd.isna(x) else f"{float(x):.9g}"
+
     return sorted(tuple(map(cell, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
