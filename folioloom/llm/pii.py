@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stage import table
+
 KINDS = ["email", "ip", "card", "phone"]
 #: The patterns of the contract; possessive forms and run starts only save backtracking.
 PATTERNS = {
@@ -126,7 +128,7 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
     held = base_spans(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
     some = base_spans(docs.select("doc_id", "text")).where("size(spans) > 0").select(key.alias("key"), "text", "spans")
-    near = _terms_near(some)
+    near = table(_terms_near(some), "near-terms")
     told = near.join(disclosing_terms(near, docs), ["kind", "value", "term"])
     added = told.groupBy("key").agg(F.collect_set(F.struct(F.col("t_start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("t_end").alias("end"), F.col("action").alias("kind"), F.col("term").alias("value"))).alias("added"))
     out = held.withColumn("key", key).join(added, "key", "left")
