@@ -629,13 +629,9 @@ def metadata_json(spark, sf):
 
 def laid_out(spark, sf):
     """``pages`` as laid-out lines: block elements in reading order, headings larger, ten pages to a document."""
-    pattern = F.lit("<(h1|h2|p|li|b)[^>]*>([^<]+)<")
-    found = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("tag"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("text"))
-    rows = read(spark, sf, "pages").select("page_id", F.posexplode(found).alias("seq", "x")).where("trim(x.text) <> ''")
-    size = F.when(F.col("x.tag") == "h1", 18.0).when(F.col("x.tag") == "h2", 14.0).otherwise(11.0)
-    rows = rows.select(F.expr("cast(page_id div 10 AS string)").alias("doc"), F.expr("cast(page_id % 10 + 1 AS int)").alias("page"), "seq", F.trim("x.text").alias("text"), size.alias("size"), (F.col("x.tag").isin("h1", "h2", "b")).alias("bold"))
-    y = 80 + 20.0 * F.col("seq")
-    return rows.select("*", F.col("seq").alias("block"), F.lit(1).cast("long").alias("block_lines"), F.lit(72.0).alias("x0"), y.alias("y0"), (72 + 5.5 * F.length("text")).alias("x1"), (y + 12).alias("y1"), F.lit(595.0).alias("page_width"), F.lit(10000.0).alias("page_height"), F.lit(False).alias("is_table"))
+    from ..sources.readers import html_lines
+
+    return html_lines(read(spark, sf, "pages"), F.expr("page_id div 10"), F.expr("page_id % 10 + 1"))
 
 
 def _paragraphs(spark, sf):
@@ -654,8 +650,8 @@ def _document_sections(spark, sf):
     from ..operators import outline as O
     from ..operators import sections as N
 
-    par = _paragraphs(spark, sf)
-    pages = Y.page_text(par)
+    par = _paragraphs(spark, sf).persist()  # read by the page texts, the headings and the outline
+    pages = Y.page_text(par).persist()
     return pages, N.sections(O.outline(pages, Y.headings(par)), pages)
 
 
