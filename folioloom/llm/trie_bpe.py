@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Bounds of what a worker remembers between batches: a table over its bound becomes the old one, whose entries return when asked for.
 MAX_CHUNKS, MAX_WORDS, MAX_PAIRS = 300_000, 300_000, 1_000_000
 #: The same where other work shares the workers: what a column of ids is made with, and forgotten after each task.
-FEW_CHUNKS, FEW_WORDS = 50_000, 100_000
+FEW_CHUNKS, FEW_WORDS = 15_000, 30_000
 #: Characters of the texts that share one walk of the trie.
 GROUP_CHARS = 12_000_000
 #: The normalizer under which a run of letters is one word, and the byte alphabet of byte-level models.
