@@ -2,14 +2,14 @@
 
 Everything is DataFrame or SQL functions.  The patterns find emails, IP
 addresses, card and phone numbers.  Information-theoretic sanitisation adds
-spans: over all documents, a term near protected values is scored by how much
+spans: over all documents, a term that shares documents with protected values is scored by how much
 of a value's information content its presence reveals,
 
     disclosure(t, e) = PMI(t, e) / IC(e)
     PMI = log2(n(t,e) * N / (df(t) * n(e))),  IC = log2(N / n(e)),
 
-with n(t,e) the different contexts of value e that hold t, df(t) the documents
-with t, n(e) the different contexts of e and N all documents.  Terms at REMOVE
+with n(t,e) the documents that hold both value e and t, df(t) the documents
+with t, n(e) the documents with e and N all documents.  Terms at REMOVE
 or more are removed, those at GENERALISE or more are replaced by a class.
 """
 
@@ -31,9 +31,9 @@ PATTERNS = {
 #: A cheap test that any match passes.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
-#: Characters on each side of a protected value that count as its context, and what a term is.
-CONTEXT, TERM = 80, r"\p{L}{3,}"
-#: A term needs so many different contexts of a value before it can be said to reveal it.
+#: What a term is.
+TERM = r"\p{L}{3,}"
+#: A term needs so many documents with a value before it can be said to reveal it.
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.85
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
@@ -86,34 +86,32 @@ def base_spans(docs: DataFrame, text: str = "text", to: str = "spans") -> DataFr
     return out.withColumn(to, F.expr(f"sort_array(concat({', '.join(parts)}))")).drop(*names.values())
 
 
-def _terms_near(spans: DataFrame) -> DataFrame:
-    """Each term in the context of each protected value, with its place: key columns, kind, value, ctx, term, t_start, t_end."""
-    s = spans.select("key", "text", F.explode("spans").alias("s")).select(
-        "key", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"),
-        F.greatest(F.col("s.start") - CONTEXT, F.lit(0)).alias("b0"), F.expr(f"substring(text, greatest(s.start - {CONTEXT}, 0) + 1, s.start - greatest(s.start - {CONTEXT}, 0))").alias("before"),
-        F.col("s.end").alias("a0"), F.expr(f"substring(text, s.end + 1, {CONTEXT})").alias("after"),
-    )
-    s = s.withColumn("ctx", F.xxhash64("before", "after"))
-    side = s.select("key", "kind", "value", "ctx", F.explode(F.expr("array(struct(b0 AS at, before AS part), struct(a0 AS at, after AS part))")).alias("w"))
-    side = side.select("key", "kind", "value", "ctx", "w.at", "w.part").withColumn("m", F.expr(f"regexp_extract_all(part, r'{TERM}', 0)")).where("size(m) > 0")
-    gaps = f"split(part, r'{TERM}', -1)"
-    side = side.withColumn("t", F.explode(F.expr(_placed("m", gaps, "term", len(KINDS)))))
-    return side.select("key", "kind", "value", "ctx", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("t_start"), (F.col("at") + F.col("t.end")).alias("t_end"))
+def _terms(text: str = "text") -> str:
+    """SQL for the distinct terms of a text, in lower case."""
+    return f"array_distinct(transform(regexp_extract_all(coalesce({text}, ''), r'{TERM}', 0), t -> lower(t)))"
+
+
+def _terms_with(some: DataFrame) -> DataFrame:
+    """Each term of each document that holds a protected value of SUPPORT documents or more: key, kind, value, n_e, term.
+
+    ``some`` has one row (key, text, spans) per document; n_e is the number of documents with the value.
+    """
+    held = some.select("key", F.explode(F.expr("array_distinct(transform(spans, s -> struct(s.kind AS kind, lower(s.value) AS value)))")).alias("e")).select("key", "e.kind", "e.value")
+    often = held.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(f"n_e >= {SUPPORT}")
+    held = held.join(often, ["kind", "value"])
+    return held.join(some.select("key", F.expr(_terms()).alias("terms")), "key").select("key", "kind", "value", "n_e", F.explode("terms").alias("term"))
 
 
 def disclosing_terms(near: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, value, term, disclosure, action) of the terms over the thresholds.
 
     Document frequencies are counted over all documents, per task first; the
-    candidates, which have SUPPORT different contexts, are joined to them.
+    candidates, which share SUPPORT documents with the value, are joined to them.
     """
-    seen = near.select("kind", "value", "ctx", "term").distinct()
-    joint = seen.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {SUPPORT}")
-    alone = seen.select("kind", "value", "ctx").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    joint = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(f"n_te >= {SUPPORT}")
+    df = docs.select(F.explode(F.expr(_terms())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n_all"))
-    scored = joint.join(alone, ["kind", "value"]).join(df, "term").crossJoin(F.broadcast(total))  # total is one row
+    scored = joint.join(df, "term").crossJoin(F.broadcast(total))  # total is one row
     share = F.expr("CASE WHEN n_all > n_e THEN log2(n_te * n_all / (double(df) * n_e)) / log2(n_all / double(n_e)) ELSE 0 END")
     scored = scored.withColumn("disclosure", share).where(f"disclosure >= {GENERALISE}")
     return scored.select("kind", "value", "term", "disclosure", F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("action"))
@@ -123,16 +121,23 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns ``carry`` and text of ``docs`` with all spans: base ones and the terms that the method adds.
 
     Rows are tied by (doc_id, hash of the text): equal rows have equal spans.
+    A term that gives a value away is added at each place in each text that holds
+    the value, with the stronger action if several values ask for it.
     Term spans that touch a base span are left to it.
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
     held = base_spans(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
     some = base_spans(docs.select("doc_id", "text")).where("size(spans) > 0").select(key.alias("key"), "text", "spans")
-    near = table(_terms_near(some), "near-terms")
-    told = near.join(disclosing_terms(near, docs), ["kind", "value", "term"])
-    added = told.groupBy("key").agg(F.collect_set(F.struct(F.col("t_start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("t_end").alias("end"), F.col("action").alias("kind"), F.col("term").alias("value"))).alias("added"))
-    out = held.withColumn("key", key).join(added, "key", "left")
-    merged = f"sort_array(concat(spans, filter(coalesce(added, cast(array() AS array<{_SPAN}>)), t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))))"
+    some = some.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    near = table(_terms_with(table(some, "protected")), "near-terms")
+    told = near.join(disclosing_terms(near, docs), ["kind", "value", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))  # removed > generalised
+    told = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("told"))
+    out = held.withColumn("key", key).join(told, "key", "left")
+    found = f"regexp_extract_all(text, r'{TERM}', 0)"
+    placed = _placed(found, f"split(text, r'{TERM}', -1)", "term", len(KINDS))
+    added = f"transform(filter({placed}, t -> map_contains_key(told, lower(t.value))), t -> named_struct('start', t.start, 'rank', t.rank, 'end', t.end, 'kind', told[lower(t.value)], 'value', lower(t.value)))"
+    out = out.withColumn("added", F.expr(f"CASE WHEN told IS NOT NULL THEN {added} ELSE cast(array() AS array<{_SPAN}>) END"))
+    merged = "sort_array(concat(spans, filter(added, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))))"
     return out.select(*dict.fromkeys([*carry, "text"]), F.col("spans").alias("base"), F.expr(merged).alias("spans"))
 
 

@@ -76,6 +76,17 @@ def test_disclosing_terms_are_added_and_replaced(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_terms_far_from_the_value_are_counted_and_replaced_everywhere(spark):
+    filler = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k)}filler" for k in range(26))
+    rows = [(i, f"Hildegard {filler(i)} ann@corp.example {filler(i)} hildegard once more. Hildegard") for i in range(8)]
+    rows += [(50, "ann@corp.example alone"), (60, "Hildegard is named without the value")] + [(100 + i, f"plain text {filler(i)}") for i in range(20)] * 4
+    out = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).withColumn("clean", pii.redact())
+    got = {r.doc_id: r for r in out.collect()}
+    assert all("hildegard" not in got[i].clean.lower() and "once more" not in got[i].clean for i in range(8))
+    assert got[60].clean == rows[9][1]
+    assert [(s.start, s.end) for s in got[0].spans if s.value == "hildegard"] == [m.span() for m in re.finditer("hildegard", rows[0][1], re.I)]
+
+
 # ---- decontamination
 
 
