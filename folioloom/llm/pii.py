@@ -92,23 +92,23 @@ def _terms(text: str = "text") -> str:
 
 
 def _terms_with(some: DataFrame) -> DataFrame:
-    """Each term of each document that holds a protected value of SUPPORT documents or more: key, kind, value, n_e, term.
+    """Each term of each document that holds a protected value of SUPPORT documents or more: key, copies, kind, value, n_e, term.
 
-    ``some`` has one row (key, text, spans) per document; n_e is the number of documents with the value.
+    ``some`` has one row (key, text, spans, copies) per different document; n_e is the number of documents with the value, copies included.
     """
-    held = some.select("key", F.explode(F.expr("array_distinct(transform(spans, s -> struct(s.kind AS kind, lower(s.value) AS value)))")).alias("e")).select("key", "e.kind", "e.value")
-    often = held.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(f"n_e >= {SUPPORT}")
+    held = some.select("key", "copies", F.explode(F.expr("array_distinct(transform(spans, s -> struct(s.kind AS kind, lower(s.value) AS value)))")).alias("e")).withColumns({"kind": F.col("e.kind"), "value": F.col("e.value")})
+    often = held.groupBy("kind", "value").agg(F.sum("copies").alias("n_e")).where(f"n_e >= {SUPPORT}")
     held = held.join(often, ["kind", "value"])
-    return held.join(some.select("key", F.expr(_terms()).alias("terms")), "key").select("key", "kind", "value", "n_e", F.explode("terms").alias("term"))
+    return held.join(some.select("key", F.expr(_terms()).alias("terms")), "key").select("key", "copies", "kind", "value", "n_e", F.explode("terms").alias("term"))
 
 
 def disclosing_terms(near: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, value, term, disclosure, action) of the terms over the thresholds.
 
-    Document frequencies are counted over all documents, per task first; the
+    All four counts are of documents, copies included, per task first; the
     candidates, which share SUPPORT documents with the value, are joined to them.
     """
-    joint = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(f"n_te >= {SUPPORT}")
+    joint = near.groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_te"), F.first("n_e").alias("n_e")).where(f"n_te >= {SUPPORT}")
     df = docs.select(F.explode(F.expr(_terms())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n_all"))
     scored = joint.join(df, "term").crossJoin(F.broadcast(total))  # total is one row
@@ -128,7 +128,7 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
     held = base_spans(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
     some = base_spans(docs.select("doc_id", "text")).where("size(spans) > 0").select(key.alias("key"), "text", "spans")
-    some = some.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    some = some.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies"))
     near = table(_terms_with(table(some, "protected")), "near-terms")
     told = near.join(disclosing_terms(near, docs), ["kind", "value", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))  # removed > generalised
     told = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("told"))

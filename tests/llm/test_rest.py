@@ -87,6 +87,20 @@ def test_terms_far_from_the_value_are_counted_and_replaced_everywhere(spark):
     assert [(s.start, s.end) for s in got[0].spans if s.value == "hildegard"] == [m.span() for m in re.finditer("hildegard", rows[0][1], re.I)]
 
 
+def test_copies_do_not_lower_disclosure(spark):
+    texts = [f"Hildegard {w} ann@corp.example" for w in ("first", "second", "third")]
+    rest = [(1000 + i, "plain first second third text") for i in range(600)]
+    for rows in (
+        [(i, texts[i % 3]) for i in range(300)],  # copies under other ids
+        [(i % 3, texts[i % 3]) for i in range(300)],  # equal rows
+        [(i, texts[0]) for i in range(100)],  # one text only
+    ):
+        out = pii.find_spans(spark.createDataFrame(rows + rest, "doc_id long, text string"), ["doc_id"])
+        got = [{s.value: s.kind for s in r.spans} for r in out.where("doc_id < 1000").collect()]
+        assert len(got) == len(rows) and all(s.get("hildegard") == "removed" and "first" not in s for s in got)
+        assert out.where("doc_id >= 1000 AND size(spans) > 0").count() == 0
+
+
 # ---- decontamination
 
 
