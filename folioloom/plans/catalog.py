@@ -596,6 +596,25 @@ def best_sentence(spark, sf):
     return d.select("doc_id", T.best_sentence(F.col("text"), F.col("terms")).alias("sentence"))
 
 
+_BEST_OF_HITS = f"""WITH {_CHOSEN},
+p AS (SELECT query_id, pos, q0.terms, [trim(x) FOR x IN string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') IF length(trim(x)) > 20] AS s, text
+  FROM ch JOIN documents ON doc_id = pos JOIN q0 USING (query_id)),
+u AS (SELECT query_id, pos, terms, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM p),
+r AS (SELECT query_id, pos, sentence, row_number() OVER (PARTITION BY query_id, pos ORDER BY
+  (regexp_matches(sentence, '^\\d{{1,3}}\\s') OR contains(sentence, 'http') OR regexp_matches(sentence, '\\b(19|20)\\d\\d\\.$'))::INT,
+  len(list_intersect(list_distinct([{T.stem_sql('x')} FOR x IN {T.tokens_sql('sentence')}]), terms)) DESC, abs(length(sentence) - 160), i) AS r FROM u)
+SELECT query_id, pos, CASE WHEN sentence IS NULL THEN left(text, 240) WHEN length(sentence) <= 240 THEN sentence ELSE regexp_replace(left(sentence, 240), '\\s\\S*$', '') || '…' END AS sentence
+FROM p LEFT JOIN (FROM r WHERE r = 1) USING (query_id, pos)"""
+
+
+@query(_BEST_OF_HITS)
+def best_sentence_of_hits(spark, sf):
+    """best_sentence of each question's top hits, for every question."""
+    terms = questions(spark, sf).select("query_id", T.query_terms(F.col("text")).alias("terms"))
+    hits = _chosen(spark, sf).join(entries(spark, sf).select("doc", "pos", "text"), ["doc", "pos"]).join(terms, "query_id")
+    return hits.select("query_id", "pos", T.best_sentence(F.col("text"), F.col("terms")).alias("sentence"))
+
+
 # ---- conversations
 
 
