@@ -95,6 +95,12 @@ def normalize_title(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.normalize_title(F.substring("text", 1, 300)).alias("title"))
 
 
+@query(f"SELECT doc_id, {T.normalize_sql('text')} AS title FROM documents")
+def normalize_whole_text(spark, sf):
+    """normalize_title of whole texts."""
+    return read(spark, sf, "documents").select("doc_id", T.normalize_title(F.col("text")).alias("title"))
+
+
 @query(f"WITH {_index()} SELECT term, df, (SELECT sum(tf) FROM post p WHERE p.term = df.term)::BIGINT AS total FROM df")
 def document_frequency(spark, sf):
     return S.postings(entries(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
@@ -245,6 +251,18 @@ def running_lines(spark, sf):
     return L.running_keys(d, F.lit(True))
 
 
+@query(
+    f"""WITH ln AS (SELECT doc_id // 10 AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents),
+p AS (SELECT doc, count(DISTINCT page) AS n_pages FROM ln GROUP BY doc),
+k AS (SELECT doc, {_KEY} AS key, count(DISTINCT page) AS on_pages FROM ln GROUP BY ALL)
+SELECT doc, key FROM k JOIN p USING (doc) WHERE on_pages >= greatest(3, floor(n_pages * 0.4))"""
+)
+def running_whole_lines(spark, sf):
+    """running_lines of whole lines."""
+    d = read(spark, sf, "documents").select(F.expr("doc_id div 10").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
+    return L.running_keys(d, F.lit(True))
+
+
 @query(
     f"""WITH {_LINES}, w AS (SELECT doc, length(text) AS size, sum(length(text)) AS chars, min(n) AS first FROM ln WHERE length(text) > 0 GROUP BY ALL)
 SELECT doc, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY chars DESC, first) AS r FROM w) WHERE r = 1"""
