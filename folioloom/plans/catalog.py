@@ -473,6 +473,18 @@ def list_outline(spark, sf):
     return rows.select("doc", "idx", F.concat(F.expr("repeat('  ', level - 1)"), F.lit("- "), "title", F.lit(" ["), D.pages_text(F.col("page_start"), F.col("page_start")), F.lit("]")).alias("line"))
 
 
+@query(
+    f"""WITH {_TREE}, tp AS (SELECT *, min(level) OVER (PARTITION BY doc) AS top FROM pg)
+SELECT doc, idx, repeat('  ', level - top) || '- ' || title || ' [Page ' || page_start || ']' AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS r FROM tp WHERE level < top + 3) WHERE r <= 400"""
+)
+def list_outline_levels(spark, sf):
+    """list_outline of the three levels that an outline answer shows, 400 lines of a document at most."""
+    rows = sections(spark, sf).withColumn("top", F.min("level").over(Window.partitionBy("doc"))).where("level < top + 3")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("idx"))).where("r <= 400")
+    return rows.select("doc", "idx", F.concat(F.expr("repeat('  ', level - top)"), F.lit("- "), "title", F.lit(" ["), D.pages_text(F.col("page_start"), F.col("page_start")), F.lit("]")).alias("line"))
+
+
 def _spans(spark, sf):
     o = read(spark, sf, "orders")
     return o.select(

@@ -28,3 +28,11 @@ def test_lines_that_share_a_word_only_do_not_run(spark, tmp_path):
     rows = [(i, f"Chapter {w}\nCopy of the owner") for i, w in enumerate(["one", "two", "three", "four"])]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(x) for x in QUERIES["running_whole_lines"](spark, str(tmp_path)).collect()] == [(0, "copy of the owner")]
+
+
+def test_outline_shows_three_levels(spark):
+    got = QUERIES["list_outline_levels"](spark, SF).toPandas()
+    want = 0
+    for n in catalog.sections(spark, SF).groupBy("doc").count().collect():
+        want += min(400, n["count"])
+    assert len(got) == want and got["line"].str.startswith("    - ").any()
