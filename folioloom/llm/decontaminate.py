@@ -143,12 +143,15 @@ def _joined(texts: DataFrame, rows: DataFrame, share: float) -> DataFrame:
         return pd.Series([sorted({s for k in range(1, SHINGLE + 1) for s in shingles(words_of(x), k)}) for x in t])
 
     docs = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    items = rows.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("item"), F.explode(of_item("text")).alias("x")).select("item_id", "item", "x.s", "x.sketch")
+    rows = rows.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))
+    times = rows.groupBy("item").agg(F.count("*").alias("times"))
+    items = rows.dropDuplicates(["item"]).select("item_id", "item", F.explode(of_item("text")).alias("x")).select("item_id", "item", "x.s", "x.sketch")
     sizes = items.groupBy("item").agg(F.count("*").alias("n_item"))
     held = docs.select("row", F.explode(of_doc("text")).alias("s")).distinct()
     cand = held.join(items.where("sketch"), "s").select("row", "item").distinct()
     shared = held.join(items.select("item", "item_id", "s"), "s").join(cand, ["row", "item"]).groupBy("row", "item", "item_id").agg(F.count("*").alias("n_shared"))
     good = shared.join(sizes, "item").where(F.col("n_shared") >= share * F.col("n_item") - 1e-9)
+    good = good.join(times, "item").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return docs.select("doc_id", "row").join(good, "row").select("doc_id", "item_id", "n_shared", "n_item")
 
 

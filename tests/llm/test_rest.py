@@ -142,6 +142,14 @@ def test_containment_both_ways(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_repeated_items_both_ways(spark):
+    d = spark.createDataFrame([(1, "x one two three four five six seven y"), (2, "nothing here")], "doc_id long, text string")
+    b = spark.createDataFrame([(5, "one two three four five six seven"), (5, "one two three four five six seven"), (6, "two three four five six")], "item_id long, text string")
+    for limit in (decontaminate.MAX_BROADCAST_CHARS, 0):
+        got = sorted(tuple(x) for x in decontaminate.contaminated(d, b, max_chars=limit).collect())
+        assert got == [(1, 5, 3, 3), (1, 5, 3, 3), (1, 6, 1, 1)]
+
+
 # ---- URL lists
 
 
