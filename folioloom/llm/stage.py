@@ -42,3 +42,23 @@ def batches_of(df: DataFrame, rows: int) -> DataFrame:
     """``df``, from now on handed to Python in batches of ``rows``: whole texts are long, and both sides hold a batch."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def parts_of(df: DataFrame, size: int = 16 << 20) -> int:
+    """Partitions for the rows of ``df``: one for each ``size`` bytes that the optimizer expects, and as many as shuffles have at least."""
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = expected < 1 << 50  # what is not read from files has no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // size) if known else 1)
+
+
+def give_back() -> None:
+    """Returns what a Python worker no longer uses to the system: workers outlive tasks, and other stages need the memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library

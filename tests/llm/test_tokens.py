@@ -3,6 +3,7 @@ import zlib
 from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from folioloom.llm import repair as R
@@ -47,16 +48,34 @@ def test_token_digests(spark):
     assert B.token_digests(docs.limit(0), WORD).count() == 0
 
 
-def test_pieces_equal_the_library(monkeypatch):
-    monkeypatch.setattr(R, "MAX_CHUNKS", 500)
-    tok, enc, rows = Tokenizer.from_file(BYTE), R.Encoder(BYTE), texts()
+def blanks(n=1500):
+    r = random.Random(9)
+    return ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for letters in ("ab \n", "ab'sé, \n\t.", "a \n\n  b", "xy1,.;!?   日\x1c\x85") for _ in range(n)] + ["<|endoftext|>  a", "a  <|endoftext|>\n b", "x <|endoftext|>"]
+
+
+def test_atoms_equal_the_library(monkeypatch):
+    monkeypatch.setattr(R, "MAX_ATOMS", 800)
+    tok, enc, rows = Tokenizer.from_file(BYTE), R.Encoder(BYTE), texts() + blanks()
+    random.Random(2).shuffle(rows)
     for at in range(0, len(rows), 150):
         group = rows[at : at + 150]
-        assert [enc.ids(p).tolist() for p in enc.pieces(group)] == [tok.encode(t or "", add_special_tokens=False).ids for t in group]
+        atoms, ends = enc.atoms(pa.array(group, pa.string()))
+        got = [enc.ids(atoms[a:b]).tolist() for a, b in zip([0, *ends[:-1]], ends)]
+        assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in group]
+
+
+def test_encoder_tables_stay_small(monkeypatch):
+    monkeypatch.setattr(R, "MAX_ATOMS", 2000)
+    enc, r = R.Encoder(BYTE), random.Random(4)
+    for _ in range(12):  # long and new atoms, white space side by side
+        enc.atoms(pa.array(["  ".join("".join(r.choice("abcdef") for _ in range(100)) for _ in range(60)) for _ in range(20)], pa.string()))
+        assert sum(map(len, enc.names)) <= 2000 + 1200
+    enc.atoms(pa.array(["a"], pa.string()))
+    assert len(enc.uses) <= 2001 and len(enc.flat) <= 4 * 2000 + 10
 
 
 def test_token_files_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(R, "SHARD_IDS", 1500)
+    monkeypatch.setattr(R, "SHARD_BYTES", 4000)
     monkeypatch.setattr(R, "LEAST", 2)
     tok, rows = Tokenizer.from_file(BYTE), [(i * 3, t) for i, t in enumerate(texts(80))] + [(None, "null id"), (6, "again"), (6, "again")]
     docs = spark.createDataFrame([(i, t, "c") for i, t in random.Random(1).sample(rows, len(rows))], "doc_id long, text string, part string")
@@ -73,11 +92,11 @@ def test_token_files_round_trip(spark, monkeypatch):
 def test_shards_are_smaller_and_open_anywhere():
     enc = R.Encoder(BYTE)
     docs = [f"the cat sat on the mat and the dog saw the cat number {i % 7} " * 20 + "end" for i in range(50)]
-    pieces = enc.pieces(docs)
-    rules, seq, ends = R.compress(enc.flat, enc.ends, pieces, 50257)
-    whole = [enc.ids(p) for p in pieces]
-    assert rules and len(seq) < 0.7 * sum(map(len, whole))
-    shard = R.Shard(R.pack(list(range(50)), rules, seq, ends, 50257))
+    atoms, ends = enc.atoms(pa.array(docs))
+    rules, seq, doc_ends = R.compress(enc.flat, enc.ends, atoms, ends, 50257)
+    whole = [enc.ids(atoms[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    assert rules and len(seq) < 0.5 * sum(map(len, whole))
+    shard = R.Shard(R.pack(list(range(50)), rules, seq, doc_ends, 50257))
     flat = [int(x) for w in whole for x in w]
     assert shard.document(17).tolist() == whole[17].tolist()
     assert shard.ids(1234, 2345).tolist() == flat[1234:2345]
