@@ -46,7 +46,7 @@ def batches_of(df: DataFrame, rows: int) -> DataFrame:
 
 def parts_of(df: DataFrame, size: int = 16 << 20) -> int:
     """Partitions for the rows of ``df``: one for each ``size`` bytes that the optimizer expects, and as many as shuffles have at least."""
-    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = expected < 1 << 50  # what is not read from files has no size
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // size) if known else 1)
 
