@@ -12,6 +12,7 @@ shingles themselves.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import batches_of
+from .stage import batches_of, give_back
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Texts in a batch between Spark and Python.
@@ -126,7 +127,7 @@ class Items:
         return out
 
 
-def _joined(texts: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+def _joined(texts: DataFrame, rows: DataFrame, share: float, told: str = "doc_id") -> DataFrame:
     """The same pairs by shuffles alone, for test sets of any size: sketch hashes pick candidates, shingles verify them."""
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.StringType()), T.StructField("sketch", T.BooleanType())])))
@@ -152,7 +153,9 @@ def _joined(texts: DataFrame, rows: DataFrame, share: float) -> DataFrame:
     shared = held.join(items.select("item", "item_id", "s"), "s").join(cand, ["row", "item"]).groupBy("row", "item", "item_id").agg(F.count("*").alias("n_shared"))
     good = shared.join(sizes, "item").where(F.col("n_shared") >= share * F.col("n_item") - 1e-9)
     good = good.join(times, "item").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return docs.select("doc_id", "row").join(good, "row").select("doc_id", "item_id", "n_shared", "n_item")
+    if told == "row":
+        return good.select("row")
+    return docs.select(told, "row").join(good, "row").select(told, "item_id", "n_shared", "n_item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT, max_chars: int = MAX_BROADCAST_CHARS) -> DataFrame:
@@ -181,21 +184,31 @@ def _search(rows: DataFrame, share: float, max_chars: int):
     items = rows.sparkSession.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")), share))
 
     @F.pandas_udf(FOUND)
-    def found(texts: pd.Series) -> pd.Series:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher, held = Hasher(), items.value
-        return pd.Series([[dict(zip(FOUND_FIELDS, x)) for x in held.found_in(t, hasher)] for t in texts])
+        try:
+            for texts in batches:
+                yield pd.Series([[dict(zip(FOUND_FIELDS, x)) for x in held.found_in(t, hasher)] for t in texts])
+        finally:
+            hasher.known.clear()
+            give_back()
 
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT, max_chars: int = MAX_BROADCAST_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; null texts stay."""
+    """The rows of ``docs`` that hold no test item; null texts stay.
+
+    Each row is judged by its own text, whatever its id: rows may share an id
+    or have none, and equal rows stay or go together.  An empty test set
+    rejects nothing.  Other columns are carried along, whatever their names.
+    """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     found = _search(rows, share, max_chars)
     if found is not None:
         return batches_of(docs, BATCH).where(F.size(found("text")) == 0)
-    bad = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, share).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+    bad = _joined(docs.select(F.lit(0).cast("long").alias("doc_id"), "text"), rows, share, "row").distinct()
+    return docs.join(bad, F.xxhash64(F.lit(0).cast("long"), docs["text"]) == bad["row"], "left_anti")
 
 
 ORACLE = r"""

@@ -118,7 +118,7 @@ def disclosing_terms(near: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` and text of ``docs`` with all spans: base ones and the terms that the method adds.
+    """row (a struct of the columns ``carry``), text, base and spans of ``docs``: pattern spans, and those with the terms that the method adds.
 
     Rows are tied by (doc_id, hash of the text): equal rows have equal spans.
     A term that gives a value away is added at each place in each text that holds
@@ -126,7 +126,7 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     Term spans that touch a base span are left to it.
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    held = base_spans(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
+    held = base_spans(docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), "doc_id", "text"))
     some = base_spans(docs.select("doc_id", "text")).where("size(spans) > 0").select(key.alias("key"), "text", "spans")
     some = some.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies"))
     near = table(_terms_with(table(some, "protected")), "near-terms")
@@ -138,7 +138,7 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     added = f"transform(filter({placed}, t -> map_contains_key(told, lower(t.value))), t -> named_struct('start', t.start, 'rank', t.rank, 'end', t.end, 'kind', told[lower(t.value)], 'value', lower(t.value)))"
     out = out.withColumn("added", F.expr(f"CASE WHEN told IS NOT NULL THEN {added} ELSE cast(array() AS array<{_SPAN}>) END"))
     merged = "sort_array(concat(spans, filter(added, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))))"
-    return out.select(*dict.fromkeys([*carry, "text"]), F.col("spans").alias("base"), F.expr(merged).alias("spans"))
+    return out.select("row", "text", F.col("spans").alias("base"), F.expr(merged).alias("spans"))
 
 
 def redact(text: Column | str = "text", spans: Column | str = "spans") -> Column:
@@ -161,6 +161,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null texts are empty; repeated rows each get their row; null ids are kept.
     An empty table gives no rows.  Other columns are not read.
     """
-    out = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    out = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(F.expr(_listed("base")), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))

@@ -44,6 +44,14 @@ def batches_of(df: DataFrame, rows: int) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with lines in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parts_of(df: DataFrame, size: int = 16 << 20) -> int:
     """Partitions for the rows of ``df``: one for each ``size`` bytes that the optimizer expects, and as many as shuffles have at least."""
     expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

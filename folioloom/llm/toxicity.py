@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import batches_of
+from .stage import batches_of, give_back
 
 BUCKETS = 1 << 18
 #: Bounds of the training sample: confirmed toxic rows and unlabelled texts, smallest hash of the id first.
@@ -62,8 +63,12 @@ def text_buckets(text: str | None) -> list[int]:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _buckets(texts: pd.Series) -> pd.Series:
-    return texts.map(text_buckets)
+def _buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    try:
+        for texts in batches:
+            yield texts.map(text_buckets)
+    finally:
+        give_back()
 
 
 def _rows(samples: list) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +174,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score in [0, 1]; null and empty texts get the model's base score."""
+    """``docs`` with a score in [0, 1]; null and empty texts get the model's base score.
+
+    Repeated rows get equal scores, an empty table none.  A column named like
+    ``score`` is replaced: callers pass a name that is free (``stage.fresh``).
+    """
 
     @F.pandas_udf(T.DoubleType())
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(list(texts), model))
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series(scores(list(texts), model))
+        finally:
+            give_back()
 
     return batches_of(docs, BATCH).withColumn(score, udf(F.col(text)))
 

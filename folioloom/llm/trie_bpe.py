@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stage import give_back
+
 #: Bounds of what a worker remembers between batches: a table over its bound becomes the old one, whose entries return when asked for.
 MAX_CHUNKS, MAX_WORDS, MAX_PAIRS = 300_000, 300_000, 1_000_000
 #: The same where other work shares the workers: what a column of ids is made with, and forgotten after each task.
-FEW_CHUNKS, FEW_WORDS = 15_000, 30_000
+FEW_CHUNKS, FEW_WORDS, FEW_PAIRS = 15_000, 30_000, 150_000
 #: Characters of the texts that share one walk of the trie.
 GROUP_CHARS = 12_000_000
 #: The normalizer under which a run of letters is one word, and the byte alphabet of byte-level models.
@@ -34,10 +36,10 @@ BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b
 class TrieCodec:
     """Encoder and decoder of a ``tokenizers`` file with a BPE model that marks word ends."""
 
-    def __init__(self, path: str, max_chunks: int | None = None, max_words: int | None = None) -> None:
+    def __init__(self, path: str, max_chunks: int | None = None, max_words: int | None = None, max_pairs: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self.max_chunks, self.max_words = max_chunks or MAX_CHUNKS, max_words or MAX_WORDS
+        self.max_chunks, self.max_words, self.max_pairs = max_chunks or MAX_CHUNKS, max_words or MAX_WORDS, max_pairs or MAX_PAIRS
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -109,7 +111,7 @@ class TrieCodec:
                 i -= 1
             else:
                 j -= 1
-        if len(self.pairs) >= MAX_PAIRS:
+        if len(self.pairs) >= self.max_pairs:
             self.pairs.clear()
         self.pairs[key] = good
         return good
@@ -260,9 +262,9 @@ def grouped(texts: pd.Series) -> Iterator[list[str | None]]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, max_chunks: int | None = None, max_words: int | None = None) -> TrieCodec:
+def codec(path: str, max_chunks: int | None = None, max_words: int | None = None, max_pairs: int | None = None) -> TrieCodec:
     """One codec per worker process and file."""
-    return TrieCodec(path, max_chunks, max_words)
+    return TrieCodec(path, max_chunks, max_words, max_pairs)
 
 
 def encode(text: Column | str, path: str) -> Column:
@@ -270,12 +272,13 @@ def encode(text: Column | str, path: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, FEW_CHUNKS, FEW_WORDS)
+        c = codec(path, FEW_CHUNKS, FEW_WORDS, FEW_PAIRS)
         try:
             for texts in batches:
                 yield pd.Series([ids for group in grouped(texts) for ids in c.encode_batch(group)])
         finally:
             c.forget()
+            give_back()
 
     return udf(text)
 
@@ -285,7 +288,7 @@ def decode(ids: Column | str, path: str) -> Column:
 
     @F.pandas_udf(T.StringType())
     def udf(rows: pd.Series) -> pd.Series:
-        c = codec(path, FEW_CHUNKS, FEW_WORDS)
+        c = codec(path, FEW_CHUNKS, FEW_WORDS, FEW_PAIRS)
         return rows.map(lambda x: c.decode([] if x is None else list(x)))
 
     return udf(ids)
@@ -300,13 +303,14 @@ def round_trip(text: Column | str, path: str) -> Column:
 
     @F.pandas_udf(ROUND_TRIP)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(path, FEW_CHUNKS, FEW_WORDS)
+        c = codec(path, FEW_CHUNKS, FEW_WORDS, FEW_PAIRS)
         try:
             for texts in batches:
                 rows = [(ids, sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()) for group in grouped(texts) for ids in c.encode_batch(group)]
                 yield pd.DataFrame(rows, columns=ROUND_TRIP.names)
         finally:
             c.forget()
+            give_back()
 
     return udf(text)
 

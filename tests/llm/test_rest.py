@@ -67,7 +67,7 @@ def test_base_spans_match_brute_force(spark):
 def test_disclosing_terms_are_added_and_replaced(spark):
     rows = [(i, f"w{chr(97 + i) * 4} q{chr(98 + i) * 5} write to anna@corp.example via Hildegard now please {chr(99 + i) * 6}") for i in range(8)]
     rows += [(100 + i, f"plain text now please write to somebody via mail {i}") for i in range(60)] + [(None, None), (3, "anna@corp.example x"), (3, "anna@corp.example x")]
-    out = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    out = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     got = {(r.doc_id, r.text): r.clean for r in out.withColumn("clean", pii.redact()).collect()}
     assert len(got) == len(rows) - 1 and out.count() == len(rows)
     clean = got[rows[0]]
@@ -80,7 +80,7 @@ def test_terms_far_from_the_value_are_counted_and_replaced_everywhere(spark):
     filler = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k)}filler" for k in range(26))
     rows = [(i, f"Hildegard {filler(i)} ann@corp.example {filler(i)} hildegard once more. Hildegard") for i in range(8)]
     rows += [(50, "ann@corp.example alone"), (60, "Hildegard is named without the value")] + [(100 + i, f"plain text {filler(i)}") for i in range(20)] * 4
-    out = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).withColumn("clean", pii.redact())
+    out = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).withColumn("doc_id", F.col("row.doc_id")).withColumn("clean", pii.redact())
     got = {r.doc_id: r for r in out.collect()}
     assert all("hildegard" not in got[i].clean.lower() and "once more" not in got[i].clean for i in range(8))
     assert got[60].clean == rows[9][1]
@@ -95,7 +95,7 @@ def test_copies_do_not_lower_disclosure(spark):
         [(i % 3, texts[i % 3]) for i in range(300)],  # equal rows
         [(i, texts[0]) for i in range(100)],  # one text only
     ):
-        out = pii.find_spans(spark.createDataFrame(rows + rest, "doc_id long, text string"), ["doc_id"])
+        out = pii.find_spans(spark.createDataFrame(rows + rest, "doc_id long, text string"), ["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
         got = [{s.value: s.kind for s in r.spans} for r in out.where("doc_id < 1000").collect()]
         assert len(got) == len(rows) and all(s.get("hildegard") == "removed" and "first" not in s for s in got)
         assert out.where("doc_id >= 1000 AND size(spans) > 0").count() == 0
