@@ -2,23 +2,70 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterable
+from dataclasses import dataclass, field, fields
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import plural, singular
 from .answers import NOT_FOUND
-from .routing import Route, Structure
 from .sections import LABEL_TITLE
 
 SOURCE = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType())])
 ANSWER = T.StructType([T.StructField("answer", T.StringType()), T.StructField("sources", T.ArrayType(SOURCE))])
 
 
+@dataclass
+class Route:
+    """What of a question's route an answer needs."""
+
+    intent: str = "list"
+    units: list[int] = field(default_factory=list)
+    noun: str | None = None
+    target: str = "units"
+    caption_kind: str | None = None
+    field_filter: list[str] | None = None
+    number_range: list[int] | None = None
+    missing_numbers: list[str] = field(default_factory=list)
+
+
+class Structure:
+    """One document's sections, captions and tables as records."""
+
+    def __init__(self, sections: list[dict], captions: list[dict] = (), tables: list[dict] = (), title: str = "", page_count: int = 0) -> None:
+        self.sections, self.captions, self.tables, self.title, self.page_count = list(sections), list(captions), list(tables), title or "", page_count
+        self.units = [s["idx"] for s in self.sections if s.get("ordinal")]
+        self.unit_noun = self.sections[0].get("unit_noun") if self.sections else None
+
+    @classmethod
+    @lru_cache(maxsize=64)
+    def loads(cls, text: str) -> Structure:
+        return cls(**json.loads(text))
+
+    def labelled(self, noun: str | None) -> list[dict]:
+        return [s for s in self.sections if noun and s["noun"] == noun and s["number"] is not None]
+
+
+def structures(sections: DataFrame, captions: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """(doc, structure): one JSON text per document with its sections, captions and tables."""
+    cols = ["idx", *[c for c in sections.columns if c not in ("doc", "idx")]]
+    rows = F.array_sort(F.collect_list(F.struct(*cols)), lambda a, b: a["idx"] - b["idx"])
+    out = sections.groupBy("doc").agg(rows.alias("sections"), F.first("doc_title").alias("title"), F.first("page_count").alias("page_count"))
+    for name, items in (("captions", captions), ("tables", tables)):
+        if items is None:
+            out = out.withColumn(name, F.array())
+        else:
+            kept = items.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in items.columns if c != "doc"])).alias(name))
+            out = out.join(kept, "doc", "left").withColumn(name, F.coalesce(name, F.array().cast(kept.schema[name].dataType)))
+    return out.select("doc", F.to_json(F.struct("sections", "captions", "tables", "title", "page_count"), {"ignoreNullFields": "false"}).alias("structure"))
+
+
 def pages(s: dict) -> str:
     return f"Page {s['page_start']}" if s["page_start"] == s["page_end"] else f"Pages {s['page_start']}–{s['page_end']}"
 
@@ -252,7 +299,7 @@ def _answers(route: pd.DataFrame, structure: pd.Series) -> pd.DataFrame:
     rows = []
     for r, s in zip(route.to_dict("records"), structure):
         clean = {k: list(v) if hasattr(v, "tolist") else v for k, v in r.items()}
-        plan = Route(**{k: v for k, v in clean.items() if v is not None})
+        plan = Route(**{f.name: clean[f.name] for f in fields(Route) if clean.get(f.name) is not None})
         known = plan.intent in ("count", "list", "lookup") or (plan.intent == "explain" and not plan.units)
         answer, sources = Answerer(Structure.loads(s) if s else Structure([]), plan).reply() if known else (None, [])
         rows.append((answer, [{"page": p, "text": t} for p, t in sources]))

@@ -721,12 +721,12 @@ def chunks(spark, sf):
 
 @query()
 def route_intents(spark, sf):
-    """Routes of all user turns; the document is that of the thread, without an outline."""
+    """Routes of all user turns; each thread is about the document whose number its own gives, with its sections."""
     from ..operators import routing as R
 
-    asked = read(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc"), "turn", "text")
-    none = spark.createDataFrame([], "doc long, structure string")
-    return R.route_questions(asked, none).select(F.col("doc").alias("conv_id"), "turn", "intent", "mode", "detail")
+    asked = read(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("doc"), "turn", "text")
+    _, sections = _document_sections(spark, sf)
+    return R.route_questions(asked, sections).select(F.col("doc").cast("long").alias("conv_id"), "turn", "intent", "mode", "detail")
 
 
 @query()

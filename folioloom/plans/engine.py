@@ -107,17 +107,16 @@ class Engine:
 
     def structures(self) -> DataFrame:
         no_doc = lambda name: self.store.read(name).withColumn("doc", F.col("doc").cast("string"))
-        return R.structures(no_doc("sections").drop("version"), no_doc("captions"), no_doc("tables"))
+        return N.structures(no_doc("sections").drop("version"), no_doc("captions"), no_doc("tables"))
 
     # -- ask
 
     def plan(self, questions: DataFrame) -> DataFrame:
         """Routes of ``questions`` (doc, turn, text), with query_id = turn."""
-        known = self.structures()
-        routed = R.route_questions(questions, known)
-        route = F.struct(*R.ROUTE.names)
-        out = routed.join(known, "doc", "left").withColumn("direct", N.structural_answers(route, F.col("structure"))).drop("structure")
-        return out.withColumn("query_id", F.col("turn"))
+        routed = self._kept(R.route_questions(questions, self.store.read("sections"), self.store.read("captions")))
+        asks = routed.where(F.col("intent").isin("count", "list", "lookup") | ((F.col("intent") == "explain") & (F.size("units") == 0)))
+        asks = asks.join(self.structures(), "doc", "left").withColumn("direct", N.structural_answers(F.struct(*R.ROUTE.names), F.col("structure"))).select("doc", "turn", "direct")
+        return routed.join(asks, ["doc", "turn"], "left").withColumn("query_id", F.col("turn"))
 
     def hits(self, plan: DataFrame, limit: int) -> DataFrame:
         """Search hits of every query and sub-query: (doc, query_id, list, rank, pos, score, similarity, coverage)."""
