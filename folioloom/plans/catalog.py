@@ -19,6 +19,7 @@ from ..operators import context as C
 from ..operators import lines as L
 from ..operators import search as S
 from ..operators import structure as D
+from ..sources.shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,12 +61,12 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 _TERMS = f"[t FOR t IN [{T.stem_sql('x')} FOR x IN {T.tokens_sql('text')}] IF NOT list_contains({T.STOP_SQL}, t)]"
 _QTERMS = f"list_distinct([{T.stem_sql('x')} FOR x IN {T.tokens_sql('text')} IF NOT list_contains({T.STOP_SQL}, x) AND length(x) > 1])"
 _INDEX = f"""
-e AS (SELECT doc_id AS pos, lang, {_TERMS} AS terms FROM documents),
-post AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(terms) AS term FROM e) GROUP BY ALL),
-len AS (SELECT pos, greatest(1, len(terms)) AS length FROM e),
-q0 AS (SELECT item_id AS query_id, {_QTERMS} AS terms FROM benchmark),
+e AS MATERIALIZED (SELECT doc_id AS pos, lang, {_TERMS} AS terms FROM documents),
+post AS MATERIALIZED (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(terms) AS term FROM e) GROUP BY ALL),
+len AS MATERIALIZED (SELECT pos, greatest(1, len(terms)) AS length FROM e),
+q0 AS MATERIALIZED (SELECT item_id AS query_id, {_QTERMS} AS terms FROM benchmark),
 q AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM q0),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (
   SELECT query_id, pos, sum(ln(1 + ((SELECT count(*) FROM len) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
     / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (SELECT avg(length) FROM len)))) AS score, count(*) AS matched
@@ -90,14 +91,8 @@ def query_terms(spark, sf):
     return questions(spark, sf).select("query_id", F.array_join(F.array_sort(T.query_terms(F.col("text"))), " ").alias("terms"))
 
 
-@query(f"SELECT doc_id, {T.normalize_sql('left(text, 300)')} AS title FROM documents")
-def normalize_title(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.normalize_title(F.substring("text", 1, 300)).alias("title"))
-
-
 @query(f"SELECT doc_id, {T.normalize_sql('text')} AS title FROM documents")
-def normalize_whole_text(spark, sf):
-    """normalize_title of whole texts."""
+def normalize_title(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.normalize_title(F.col("text")).alias("title"))
 
 
@@ -166,13 +161,13 @@ def cosine_scoped(spark, sf):
 _HYBRID = f"""
 {_index()},
 lex AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) - 1 AS l FROM bm),
-sim AS (SELECT item_id AS query_id, v.vec_id AS pos, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
+sim AS MATERIALIZED (SELECT item_id AS query_id, v.vec_id AS pos, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
   FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
 vec AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, pos) - 1 AS v FROM sim),
 f AS (SELECT query_id, pos, v, l, coalesce(1.0::DOUBLE / (61 + v), 0) + coalesce(1.0::DOUBLE / (61 + l), 0) AS score
   FROM (FROM vec WHERE v < 30) a FULL JOIN (FROM lex WHERE l < 30) b USING (query_id, pos)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, coalesce(v, 1000000), coalesce(l, 1000000), pos) - 1 AS rank FROM f),
-cov AS (SELECT query_id, pos, count(*) / max(n_terms) AS coverage FROM q JOIN post USING (term) GROUP BY ALL),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, coalesce(v, 1000000), coalesce(l, 1000000), pos) - 1 AS rank FROM f QUALIFY rank < 18),
+cov AS (SELECT query_id, pos, count(*) / max(n_terms) AS coverage FROM r JOIN q USING (query_id) JOIN post USING (pos, term) GROUP BY ALL),
 hits AS (SELECT query_id, rank, pos, score, similarity, coalesce(coverage, 0) AS coverage FROM r LEFT JOIN sim USING (query_id, pos) LEFT JOIN cov USING (query_id, pos) WHERE rank < 18)"""
 
 
@@ -239,26 +234,13 @@ def line_offsets(spark, sf):
 _KEY = f"trim(regexp_replace({T.fold_sql('text')}, '\\d+', '#', 'g'))"
 
 
-@query(
-    f"""WITH ln AS (SELECT doc_id // 10 AS doc, doc_id AS page, unnest([regexp_extract(x, '^[^ ]+') FOR x IN string_split(text, chr(10))]) AS text FROM documents),
-p AS (SELECT doc, count(DISTINCT page) AS n_pages FROM ln GROUP BY doc),
-k AS (SELECT doc, {_KEY} AS key, count(DISTINCT page) AS on_pages FROM ln GROUP BY ALL)
-SELECT doc, key FROM k JOIN p USING (doc) WHERE on_pages >= greatest(3, floor(n_pages * 0.4))"""
-)
-def running_lines(spark, sf):
-    first = F.transform(F.split("text", "\n"), lambda x: F.regexp_extract(x, "^[^ ]+", 0))
-    d = read(spark, sf, "documents").select(F.expr("doc_id div 10").alias("doc"), F.col("doc_id").alias("page"), F.explode(first).alias("text"))
-    return L.running_keys(d, F.lit(True))
-
-
 @query(
     f"""WITH ln AS (SELECT doc_id // 10 AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents),
 p AS (SELECT doc, count(DISTINCT page) AS n_pages FROM ln GROUP BY doc),
 k AS (SELECT doc, {_KEY} AS key, count(DISTINCT page) AS on_pages FROM ln GROUP BY ALL)
 SELECT doc, key FROM k JOIN p USING (doc) WHERE on_pages >= greatest(3, floor(n_pages * 0.4))"""
 )
-def running_whole_lines(spark, sf):
-    """running_lines of whole lines."""
+def running_lines(spark, sf):
     d = read(spark, sf, "documents").select(F.expr("doc_id div 10").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
     return L.running_keys(d, F.lit(True))
 
@@ -463,23 +445,13 @@ def level_histogram(spark, sf):
     return D.level_histogram(sections(spark, sf))
 
 
-@query(
-    f"""WITH {_TREE} SELECT doc, idx, repeat('  ', level - 1) || '- ' || title || ' [Page ' || page_start || ']' AS line
-FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS r FROM pg WHERE level <= 2) WHERE r <= 400"""
-)
-def list_outline(spark, sf):
-    w = Window.partitionBy("doc").orderBy("idx")
-    rows = sections(spark, sf).where("level <= 2").withColumn("r", F.row_number().over(w)).where("r <= 400")
-    return rows.select("doc", "idx", F.concat(F.expr("repeat('  ', level - 1)"), F.lit("- "), "title", F.lit(" ["), D.pages_text(F.col("page_start"), F.col("page_start")), F.lit("]")).alias("line"))
-
-
 @query(
     f"""WITH {_TREE}, tp AS (SELECT *, min(level) OVER (PARTITION BY doc) AS top FROM pg)
 SELECT doc, idx, repeat('  ', level - top) || '- ' || title || ' [Page ' || page_start || ']' AS line
 FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS r FROM tp WHERE level < top + 3) WHERE r <= 400"""
 )
-def list_outline_levels(spark, sf):
-    """list_outline of the three levels that an outline answer shows, 400 lines of a document at most."""
+def list_outline(spark, sf):
+    """The three levels that an outline answer shows, 400 lines of a document at most."""
     rows = sections(spark, sf).withColumn("top", F.min("level").over(Window.partitionBy("doc"))).where("level < top + 3")
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("idx"))).where("r <= 400")
     return rows.select("doc", "idx", F.concat(F.expr("repeat('  ', level - top)"), F.lit("- "), "title", F.lit(" ["), D.pages_text(F.col("page_start"), F.col("page_start")), F.lit("]")).alias("line"))
@@ -609,23 +581,6 @@ def locate_sections(spark, sf):
     return groups.withColumn("r", F.row_number().over(w)).where("r <= 6").select("query_id", "section", F.round("weight", 6).alias("weight"))
 
 
-_BEST = f"""WITH t AS (SELECT {_QTERMS} AS terms FROM benchmark WHERE item_id = 0),
-p AS (SELECT doc_id, [trim(x) FOR x IN string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') IF length(trim(x)) > 20] AS s, text FROM documents),
-u AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM p),
-r AS (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY
-  (regexp_matches(sentence, '^\\d{{1,3}}\\s') OR contains(sentence, 'http') OR regexp_matches(sentence, '\\b(19|20)\\d\\d\\.$'))::INT,
-  len(list_intersect(list_distinct([{T.stem_sql('x')} FOR x IN {T.tokens_sql('sentence')}]), (SELECT terms FROM t))) DESC, abs(length(sentence) - 160), i) AS r FROM u)
-SELECT doc_id, CASE WHEN sentence IS NULL THEN left(text, 240) WHEN length(sentence) <= 240 THEN sentence ELSE regexp_replace(left(sentence, 240), '\\s\\S*$', '') || '…' END AS sentence
-FROM p LEFT JOIN (FROM r WHERE r = 1) USING (doc_id)"""
-
-
-@query(_BEST)
-def best_sentence(spark, sf):
-    terms = read(spark, sf, "benchmark").where("item_id = 0").select(T.query_terms(F.col("text")).alias("terms"))
-    d = read(spark, sf, "documents").crossJoin(F.broadcast(terms))  # the terms of one question: one row
-    return d.select("doc_id", T.best_sentence(F.col("text"), F.col("terms")).alias("sentence"))
-
-
 _BEST_OF_HITS = f"""WITH {_CHOSEN},
 p AS (SELECT query_id, pos, q0.terms, [trim(x) FOR x IN string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') IF length(trim(x)) > 20] AS s, text
   FROM ch JOIN documents ON doc_id = pos JOIN q0 USING (query_id)),
@@ -638,8 +593,8 @@ FROM p LEFT JOIN (FROM r WHERE r = 1) USING (query_id, pos)"""
 
 
 @query(_BEST_OF_HITS)
-def best_sentence_of_hits(spark, sf):
-    """best_sentence of each question's top hits, for every question."""
+def best_sentence(spark, sf):
+    """The sentence to quote of each question's top hits."""
     terms = questions(spark, sf).select("query_id", T.query_terms(F.col("text")).alias("terms"))
     hits = _chosen(spark, sf).join(entries(spark, sf).select("doc", "pos", "text"), ["doc", "pos"]).join(terms, "query_id")
     return hits.select("query_id", "pos", T.best_sentence(F.col("text"), F.col("terms")).alias("sentence"))
@@ -699,9 +654,9 @@ def _document_sections(spark, sf):
     from ..operators import outline as O
     from ..operators import sections as N
 
-    par = _paragraphs(spark, sf).persist()  # read by the page texts, the headings and the outline
-    pages = Y.page_text(par).persist()
-    return pages, N.sections(O.outline(pages, Y.headings(par)), pages)
+    par = settled(_paragraphs(spark, sf), "paragraphs")  # read by the page texts, the headings and the outline
+    pages = settled(Y.page_text(par), "pages")
+    return pages, settled(N.sections(O.outline(pages, Y.headings(par)), pages), "sections")
 
 
 @query()
@@ -711,12 +666,13 @@ def structure_sections(spark, sf):
 
 @query()
 def chunks(spark, sf):
-    """Chunks of whole documents of one page each."""
+    """Chunks of all laid-out documents, cut at the borders of their sections, and of whole documents of one page each."""
     from ..operators import layout as Y
 
-    pages = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), "text")
-    none = spark.createDataFrame([], "doc string, page_start int, offset int, idx int")
-    return Y.chunks(pages, none).select("doc", "pos", "id", "start", "end", "text")
+    laid, sections = _document_sections(spark, sf)
+    plain = read(spark, sf, "documents").select(F.concat(F.lit("text-"), F.col("doc_id").cast("string")).alias("doc"), F.lit(1).alias("page"), "text")
+    pages = laid.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), "text").unionByName(plain)
+    return Y.chunks(pages, sections.select("doc", "page_start", "offset", "idx")).select("doc", "pos", "id", "start", "end", "text")
 
 
 @query()

@@ -11,14 +11,14 @@ def table(name):
 
 
 def test_every_question_has_best_sentences(spark):
-    got = QUERIES["best_sentence_of_hits"](spark, SF).toPandas()
+    got = QUERIES["best_sentence"](spark, SF).toPandas()
     ranked = QUERIES["bm25_topk"](spark, SF).toPandas()
     assert got["query_id"].nunique() > 1 and set(got["query_id"]) == set(ranked["query_id"])
     assert set(zip(ranked["query_id"], ranked["pos"])) <= set(zip(got["query_id"], got["pos"]))
 
 
 def test_titles_are_not_cut(spark):
-    got = QUERIES["normalize_whole_text"](spark, SF).toPandas().set_index("doc_id")["title"]
+    got = QUERIES["normalize_title"](spark, SF).toPandas().set_index("doc_id")["title"]
     d = table("documents").set_index("doc_id")["text"]
     long = d[d.str.len() > 2000]
     assert len(long) and (got[long.index].str.len() > 1000).all()
@@ -27,11 +27,11 @@ def test_titles_are_not_cut(spark):
 def test_lines_that_share_a_word_only_do_not_run(spark, tmp_path):
     rows = [(i, f"Chapter {w}\nCopy of the owner") for i, w in enumerate(["one", "two", "three", "four"])]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(x) for x in QUERIES["running_whole_lines"](spark, str(tmp_path)).collect()] == [(0, "copy of the owner")]
+    assert [tuple(x) for x in QUERIES["running_lines"](spark, str(tmp_path)).collect()] == [(0, "copy of the owner")]
 
 
 def test_outline_shows_three_levels(spark):
-    got = QUERIES["list_outline_levels"](spark, SF).toPandas()
+    got = QUERIES["list_outline"](spark, SF).toPandas()
     want = 0
     for n in catalog.sections(spark, SF).groupBy("doc").count().collect():
         want += min(400, n["count"])
