@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from folioloom.functions.numbers import parse_number, plural, singular
 from folioloom.operators import layout as Y
 from folioloom.operators import lines as L
 from folioloom.operators import outline as O
 from folioloom.operators import sections as S
-from folioloom.operators.sections import fields_of, parse_title, roles_of
+from folioloom.operators.sections import opening_fields, roles, title_parts
 
 from .layouts import SCHEMA, body, lines, placed
 
@@ -24,13 +25,48 @@ def test_numbers_and_nouns():
     assert (singular("Annexures"), singular("sec."), singular("dogs"), plural("story"), plural("widget"), plural("part", 1)) == ("annex", "section", None, "stories", "widgets", "part")
 
 
-def test_titles():
-    assert parse_title("Chapter One: The Start")[:3] == ("The Start", "chapter", 1)
-    assert parse_title("3.2 Methods of work")[1:] == (None, 3, "3.2", "3.2")
-    assert parse_title("2020 was a good year").number is None
-    assert parse_title("Annex B")[1:3] == ("annex", 2) and parse_title("a dog barked").number is None
-    assert roles_of("2. Executive Summary") == ["summary"] and "objectives" in roles_of("1.1 Purpose")
-    assert fields_of("Domain: Health | Page 1 of 4\nOwner:\nAnna | x\n") == {"Domain": "Health", "Owner": "Anna"}
+def test_titles(spark):
+    titles = ["Chapter One: The Start", "3.2 Methods of work", "2020 was a good year", "Annex B", "a dog barked", "2. Executive Summary", "1.1 Purpose", "A.1 Scope", "Section iv", "12 Monkeys"]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string").select("title", title_parts(F.col("title")).alias("t"), roles(F.col("title")).alias("roles"))
+    got = {r.title: (tuple(r.t), r.roles) for r in rows.collect()}
+    assert got["Chapter One: The Start"][0][:3] == ("The Start", "chapter", 1)
+    assert got["3.2 Methods of work"][0][1:] == (None, 3, "3.2", "3.2")
+    assert got["2020 was a good year"][0][2] is None and got["a dog barked"][0][2] is None
+    assert got["Annex B"][0][1:3] == ("annex", 2) and got["A.1 Scope"][0][1:] == (None, 1, "A.1", "A.1")
+    assert got["Section iv"][0][1:] == ("section", 4, None, "IV") and got["12 Monkeys"][0][:3] == ("Monkeys", None, 12)
+    assert got["2. Executive Summary"][1] == ["summary"] and "objectives" in got["1.1 Purpose"][1]
+
+
+def test_fields_of_openings(spark):
+    texts = ["Domain: Health | Page 1 of 4\nOwner:\nAnna | x\n", "no field here", None, "A: 1\nA: 2", "x" * 300 + "\nA: 1", "One:\nTwo: 2\nThree: 3"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, opening string")
+    got = [r.f for r in rows.select("i", opening_fields(F.col("opening")).alias("f")).orderBy("i").collect()]
+    assert got == [{"Domain": "Health", "Owner": "Anna"}, {}, {}, {"A": "2"}, {}, {"One": "Two: 2", "Three": "3"}]
+
+
+def outline_rows(spark, entries, texts=None):
+    """Sections of one document of a page per heading; entries are (title, level)."""
+    rows = [("d", n + 1, 0, t, level, "", "text") for n, (t, level) in enumerate(entries)]
+    outline = spark.createDataFrame(rows, "doc string, page int, offset int, title string, level int, doc_title string, outline_source string")
+    pages = spark.createDataFrame([("d", n + 1, f"{t}\n\n{(texts or {}).get(t, 'Body text.')}") for n, (t, _) in enumerate(entries)], "doc string, page int, text string")
+    return S.sections(outline, pages).orderBy("idx").collect()
+
+
+def test_parts_own_what_follows_and_front_matter_is_no_unit(spark):
+    entries = [("Foreword", 1), ("Thanks to all", 1), ("Table of contents", 1), ("Part One", 1), ("Chapter 1 Rivers", 1), ("Chapter 2 Lakes", 1), ("Part Two", 1), ("Chapter 3 Seas", 1), ("Annex A Maps", 1)]
+    rows = outline_rows(spark, entries + [(f"Annex {x} More", 1) for x in "BCDEFGHIJK"])
+    at = {r.title: r for r in rows}
+    assert at["Part One"].children == [4, 5] and at["Part One"].page_end == 6 and at["Part Two"].children == [7]
+    assert at["Thanks to all"].matter and at["Foreword"].ordinal is None and at["Chapter 1 Rivers"].parent is None
+
+
+def test_numbers_come_from_children_and_plain_headings_go_inside(spark):
+    entries = [("INTRODUCTION", 1), ("1.1 Purpose", 2), ("1.2 Scope", 2), ("2 Methods", 1), ("2.1 Data", 2), ("Sampling notes", 1), ("2.2 Tools", 2), ("3 Results", 1), ("Closing words", 1)]
+    rows = outline_rows(spark, entries)
+    at = {r.title: r for r in rows}
+    assert (at["INTRODUCTION"].number, at["INTRODUCTION"].number_path) == (1, "1") and at["INTRODUCTION"].children == [1, 2]
+    assert at["Sampling notes"].level == 2 and at["Sampling notes"].parent == 3 and at["Closing words"].level == 1
+    assert at["2.2 Tools"].ancestors == [3, 6] and at["2 Methods"].page_end == 7 and at["2 Methods"].ordinal == 2
 
 
 def test_label_above_title_and_fields(spark):
