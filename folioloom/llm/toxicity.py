@@ -170,7 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     edges, values = (sets.offsets.to_numpy(), sets.values.to_numpy()) if len(sets) else (np.zeros(1, int), np.empty(0, int))
     order = np.lexsort((np.diff(edges), got["doc_id"].to_numpy()))
     rows = lambda wanted: [values[edges[i] : edges[i + 1]] for i in order if marked[i] == wanted]
-    return fit(rows(True), rows(False), (n_toxic or 0) / n if n else 0.0)
+    model = fit(rows(True), rows(False), (n_toxic or 0) / n if n else 0.0)
+    del got, sets, edges, values
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
