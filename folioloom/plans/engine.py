@@ -122,7 +122,7 @@ class Engine:
         """Search hits of every query and sub-query: (doc, query_id, list, rank, pos, score, similarity, coverage)."""
         every = plan.select("doc", "query_id", F.posexplode(F.concat(F.array("search_query"), "subqueries")).alias("list", "text"))
         asked = every.withColumn("key", F.col("query_id") * 16 + F.col("list"))
-        body = F.concat_ws(" ", "section_path", "table_header", "text")
+        body = F.array_join(F.filter(F.array("section_path", "table_header", "text"), lambda x: F.trim(x) != ""), "\n")
         vectors = None
         q = asked.select("doc", F.col("key").alias("query_id"), "text")
         if self.embed is not None:
@@ -151,11 +151,13 @@ class Engine:
         whole = C.budgeted(self.scope(plan.where(intent.isin("explain", "compare", "scoped_qa"))), entries, s.explain_chars)
         on_page = plan.where(intent == "page").select("doc", "query_id", F.explode("pages").alias("page")).join(entries.select("doc", "pos", "page"), ["doc", "page"])
         by_page = C.budgeted(on_page, entries, s.explain_chars)
+        shown = plan.where(intent == "caption").select("doc", "query_id", F.explode("captions.page").alias("page")).distinct()
+        by_caption = C.budgeted(shown.join(entries.select("doc", "pos", "page"), ["doc", "page"]).select("doc", "query_id", "pos").distinct(), entries, s.qa_chars)
         first = Window.partitionBy("doc", "unit").orderBy("pos")
         opening = entries.withColumn("r", F.row_number().over(first)).where("r = 1").select("doc", "pos")
         overview = C.budgeted(plan.where(intent == "overview").select("doc", "query_id").join(opening, "doc"), entries, s.overview_chars)
         out = qa
-        for rows in (roles, whole, by_page, overview):
+        for rows in (roles, whole, by_page, by_caption, overview):
             out = out.unionByName(rows.select("doc", "query_id", "pos"))
         return self._kept(out.distinct()), best
 

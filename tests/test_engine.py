@@ -2,13 +2,15 @@ import pytest
 
 from folioloom.plans.engine import Engine, Settings, hashing_embedder
 
-from .layouts import SCHEMA, book, lines, topics
+from .layouts import SCHEMA, body, book, lines, topics
 
 
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     e = Engine(spark, str(tmp_path_factory.mktemp("store")), Settings(chunk_size=400, chunk_overlap=60), embed=hashing_embedder(256))
     rows = lines(topics(), "topics") + lines(book(), "book", header="My Sample Book", page_numbers=True)
+    report = [[("1 Background", 18, True), *body("Words about the plan")], [("2 Costs", 18, True), *body("What it costs"), ("Table 1: Grant budget by year", 11, False)], [("3 Outlook", 18, True), *body("What comes next")]]
+    rows += lines(report, "report")
     e.summary = {r.doc: r for r in e.ingest(spark.createDataFrame(rows, SCHEMA)).collect()}
     return e
 
@@ -40,7 +42,7 @@ def test_answers(engine, spark):
     asked = [
         ("topics", 1, "How many topics are there?"), ("topics", 2, "list topics with domain technology"), ("topics", 3, "What is the title of topic 4?"), ("topics", 4, "explain topic 9"),
         ("topics", 5, "explain topic 2"), ("topics", 6, "summarize it"), ("topics", 7, "how does gradient descent variant ccc work?"), ("topics", 8, "who won the football world championship finals?"),
-        ("topics", 9, "where is gradient descent mentioned?"), ("topics", 10, "how many pages are in this document?"), ("book", 1, "list all chapters"),
+        ("topics", 9, "where is gradient descent mentioned?"), ("topics", 10, "how many pages are in this document?"), ("book", 1, "list all chapters"), ("report", 1, "What does Table 1 show?"),
     ]
     got = {(r.doc, r.turn): r for r in engine.ask(spark.createDataFrame(asked, "doc string, turn int, text string")).collect()}
     assert len(got) == len(asked)
@@ -54,12 +56,13 @@ def test_answers(engine, spark):
     assert got["topics", 8].answer == "I couldn't find that in the uploaded PDF." and not got["topics", 8].sources
     assert got["topics", 9].answer.startswith("The topic is discussed") and "gradient descent" in got["topics", 9].answer
     assert got["topics", 10].answer == "The document has 10 pages."
+    assert got["report", 1].intent == "caption" and got["report", 1].answer == "Grounded answer [Page 2]." and {s.page for s in got["report", 1].sources} == {2}
     assert "3 found" in got["book", 1].answer and "Chapter Two: The Middle [Pages 3–4]" in got["book", 1].answer
 
 
 def test_replace_and_stale(engine, spark):
     stale = {r.doc: r.stale for r in engine.store.needs_reindex().collect()}
-    assert stale == {"book": False, "topics": False}
+    assert stale == {"book": False, "topics": False, "report": False}
     engine.store.save_digests(spark.createDataFrame([("book", "k", "one")], "doc string, key string, text string"))
     engine.store.save_digests(spark.createDataFrame([("book", "k", "two"), ("book", "l", "x")], "doc string, key string, text string"))
     asked = spark.createDataFrame([("book", "k"), ("book", "m")], "doc string, key string")
