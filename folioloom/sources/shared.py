@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="folioloom-")
+
+
 def folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +21,7 @@ def folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="folioloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own()
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
