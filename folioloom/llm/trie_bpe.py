@@ -24,9 +24,9 @@ from .stage import give_back
 #: Bounds of what a worker remembers between batches: a table over its bound becomes the old one, whose entries return when asked for.
 MAX_CHUNKS, MAX_WORDS, MAX_PAIRS = 300_000, 300_000, 1_000_000
 #: The same where other work shares the workers: what a column of ids is made with, and forgotten after each task.
-FEW_CHUNKS, FEW_WORDS, FEW_PAIRS = 15_000, 30_000, 150_000
-#: Characters of the texts that share one walk of the trie.
-GROUP_CHARS = 12_000_000
+FEW_CHUNKS, FEW_WORDS, FEW_PAIRS = 30_000, 60_000, 150_000
+#: Characters of the texts that share one walk of the trie; the second where other work shares the workers.
+GROUP_CHARS, FEW_CHARS = 12_000_000, 1_000_000
 #: The normalizer under which a run of letters is one word, and the byte alphabet of byte-level models.
 PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -248,11 +248,11 @@ class TrieCodec:
         return " ".join([token[i] for i in ids])
 
 
-def grouped(texts: pd.Series) -> Iterator[list[str | None]]:
+def grouped(texts: pd.Series, chars: int | None = None) -> Iterator[list[str | None]]:
     """Texts in groups of a bounded size (a longer text alone)."""
-    group, size = [], 0
+    group, size, chars = [], 0, chars or GROUP_CHARS
     for text in texts:
-        if group and size + len(text or "") > GROUP_CHARS:
+        if group and size + len(text or "") > chars:
             yield group
             group, size = [], 0
         group.append(text)
@@ -275,7 +275,7 @@ def encode(text: Column | str, path: str) -> Column:
         c = codec(path, FEW_CHUNKS, FEW_WORDS, FEW_PAIRS)
         try:
             for texts in batches:
-                yield pd.Series([ids for group in grouped(texts) for ids in c.encode_batch(group)])
+                yield pd.Series([ids for group in grouped(texts, FEW_CHARS) for ids in c.encode_batch(group)])
         finally:
             c.forget()
             give_back()
@@ -306,7 +306,7 @@ def round_trip(text: Column | str, path: str) -> Column:
         c = codec(path, FEW_CHUNKS, FEW_WORDS, FEW_PAIRS)
         try:
             for texts in batches:
-                rows = [(ids, sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()) for group in grouped(texts) for ids in c.encode_batch(group)]
+                rows = [(ids, sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()) for group in grouped(texts, FEW_CHARS) for ids in c.encode_batch(group)]
                 yield pd.DataFrame(rows, columns=ROUND_TRIP.names)
         finally:
             c.forget()

@@ -101,3 +101,14 @@ def test_shards_are_smaller_and_open_anywhere():
     assert shard.document(17).tolist() == whole[17].tolist()
     assert shard.ids(1234, 2345).tolist() == flat[1234:2345]
     assert [d for _, ids in shard.documents() for d in ids.tolist()] == flat
+
+
+def test_shared_workers_walk_small_groups():
+    import pandas as pd
+
+    from folioloom.llm import trie_bpe as B
+
+    texts = pd.Series(["x" * 300_000] * 10 + [None, "y" * (B.FEW_CHARS + 1), "z"])
+    groups = list(B.grouped(texts, B.FEW_CHARS))
+    assert [t for g in groups for t in g] == list(texts)
+    assert all(len(g) == 1 or sum(len(t or "") for t in g) <= B.FEW_CHARS for g in groups) and 12 * B.FEW_CHARS <= B.GROUP_CHARS
