@@ -16,6 +16,8 @@ RADIUS = 3
 BUCKET = 1024
 #: Texts in a batch between Spark and Python.
 BATCH = 1000
+#: What the hashes are mixed with for each word of a wide fingerprint.
+_WORDS = np.random.default_rng(7).integers(0, 1 << 63, 64, np.uint64)
 LINKS = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BREAKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -39,6 +41,18 @@ def fingerprint(text: str | None, seed: int = 42, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits (as bytes) over distinct 64-bit hashes; each word mixes them anew, a bit is set if it is set in over half of them."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # counts of so many fit one byte
+        x = hashes[at : at + 255, None] ^ _WORDS[:words]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
+
+
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
