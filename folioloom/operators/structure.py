@@ -71,9 +71,9 @@ def page_ends(sections: DataFrame, last_page: Column | str = "last_page") -> Dat
     That section's first page is left out if it starts at the top of it; the
     document's last page if there is none; never before the own first page.
     """
-    after = _reading().rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("doc").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)  # running values from the end; frames up to the end are computed anew for each row
     stop = F.struct("idx", (F.col("page_start") - F.when(F.col("offset") == 0, 1).otherwise(0)).alias("end"))
-    nexts = [F.first(F.when(F.col("level") == n, stop), ignorenulls=True).over(after) for n in range(1, MAX_LEVEL + 1)]
+    nexts = [F.last(F.when(F.col("level") == n, stop), ignorenulls=True).over(after) for n in range(1, MAX_LEVEL + 1)]
     following = F.array_min(F.filter(F.array(*[F.when(F.col("level") >= n, c) for n, c in enumerate(nexts, start=1)]), lambda x: x.isNotNull()))
     end = F.coalesce(following["end"], F.col(last_page) if isinstance(last_page, str) else last_page)
     return sections.withColumn("page_end", F.greatest("page_start", end))

@@ -1,5 +1,9 @@
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
+from folioloom.operators import structure as D
 from folioloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +40,15 @@ def test_outline_shows_three_levels(spark):
     for n in catalog.sections(spark, SF).groupBy("doc").count().collect():
         want += min(400, n["count"])
     assert len(got) == want and got["line"].str.startswith("    - ").any()
+
+
+def test_page_ends_are_running_values(spark):
+    r = random.Random(9)
+    rows = [(d, i, r.randint(1, 10), i // 3 + 1, r.choice([0, 50])) for d in range(3) for i in range(200)]
+    out = D.page_ends(spark.createDataFrame(rows, "doc int, idx int, level int, page_start int, offset int"), F.lit(99))
+    got = {(x.doc, x.idx): x.page_end for x in out.where("level <= 9").collect()}
+    for d, i, level, page, _ in rows:
+        if level <= 9:
+            end = next((p - (o == 0) for e, j, n, p, o in rows if e == d and j > i and n <= level), 99)
+            assert got[d, i] == max(page, end)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()  # such a frame is computed anew for each row
