@@ -7,14 +7,21 @@ belongs to; a query only meets entries of its own document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from ..functions import text as T
 from ..functions import vectors as V
 
 K1, B, RRF = 1.2, 0.75, 60
 MIN_COVERAGE, MIN_SIMILARITY = 0.5, 0.30
+#: Numbers in a block of vectors or queries, query vectors multiplied at once, vectors of which only the best is looked at first, and pairs computed exactly at once.
+BLOCK, ROWS, STRIP, PAIRS = 1 << 22, 64, 64, 1 << 17
 
 
 def candidates(limit: int) -> int:
@@ -79,6 +86,114 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, scope: DataFrame | None
     return both.withColumn("similarity", F.try_divide(V.dot(F.col("p_v"), F.col("q_v")), F.col("p_n") * F.col("q_n"))).where("similarity IS NOT NULL").select("doc", "query_id", "pos", "similarity")
 
 
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Vectors of one size as a matrix of doubles."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return np.asarray(flat, np.float64).reshape(-1, size)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products of the rows, left to right as in ``V.dot``."""
+    s = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        s += a[:, j] * b[:, j]
+    return s
+
+
+def _likely(q: np.ndarray, v: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows among which are the ``keep`` best of each row of ``q`` (unit vectors), and all that equal them.
+
+    Products in single precision are off by less than ``slack``.  The best of
+    each strip of vectors tell a value that ``keep`` of them reach; only strips whose best reaches it are looked into.
+    """
+    slack = np.float32(2 * (q.shape[1] + 8) * 2.0**-23 + 4e-9)
+    strips = -(-len(v) // STRIP)
+    wide = np.zeros((strips * STRIP, v.shape[1]), np.float32)
+    wide[: len(v)] = v
+    for at in range(0, len(q), ROWS):
+        s = q[at : at + ROWS].astype(np.float32) @ wide.T
+        s[:, len(v) :] = -2
+        best = s.reshape(-1, STRIP, strips).max(axis=1)  # a strip has every so many-th vector
+        floor = np.partition(best, strips - keep, axis=1)[:, strips - keep] if strips > keep else np.full(len(best), -2, np.float32)
+        i, strip = np.nonzero(best >= (floor - slack)[:, None])
+        for a in range(0, len(i), PAIRS // STRIP):
+            x, y = i[a : a + PAIRS // STRIP], strip[a : a + PAIRS // STRIP]
+            j = y[:, None] + strips * np.arange(STRIP)
+            k, c = np.nonzero((s[x[:, None], j] >= (floor[x] - slack)[:, None]) & (j < len(v)))
+            yield at + x[k], j[k, c]
+
+
+def _best(q: np.ndarray, q_norm: np.ndarray, v: np.ndarray, v_norm: np.ndarray, pos: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity): the ``keep`` most similar vectors of each query and those that rounding may put among them; of equal vectors and values the first by ``pos``."""
+    order = np.lexsort((pos, np.unique(v, axis=0, return_inverse=True)[1].ravel()))
+    same = np.r_[False, (v[order[1:]] == v[order[:-1]]).all(axis=1)] if len(v) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(v))))
+    heads = np.flatnonzero(~same)
+    copies = np.minimum(np.diff(np.r_[heads, len(v)]), keep)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    held, n_held = [], 0
+
+    def settled(parts: list) -> tuple:
+        i, j, s = (np.concatenate(x) for x in zip(*parts))
+        o = np.lexsort((pos[j], -s, i))
+        i, j, s = i[o], j[o], s[o]
+        new = np.r_[True, (i[1:] != i[:-1]) | (s[1:] != s[:-1])][: len(i)]
+        few = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) < keep
+        i, j, s = i[few], j[few], s[few]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+        sizes = np.diff(np.r_[starts, len(i)])
+        last = np.where(sizes >= keep, s[np.minimum(starts + keep - 1, max(len(s) - 1, 0))], -2.0)
+        good = s >= np.repeat(last, sizes) - 2e-9
+        return i[good], j[good], s[good]
+
+    ones, units = q / q_norm[:, None], v[order[heads]] / v_norm[order[heads], None]
+    for i, h in _likely(ones, units, keep):
+        j = order[heads[h]]
+        s = _dots(v[j], q[i]) / (v_norm[j] * q_norm[i])
+        n = copies[h]
+        at = np.repeat(heads[h], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        held.append((np.repeat(i, n), order[at], np.repeat(s, n)))
+        n_held += n.sum()
+        if n_held > 8 * PAIRS:
+            found, held, n_held = [settled([*found, *held])], [], 0
+    return settled([*found, *held])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """(doc, query_id, pos, similarity): of ``vector_hits``, the best ``keep`` of each query, and no less.
+
+    Blocks of vectors meet blocks of queries and are multiplied as matrices;
+    what may be among the best is then computed as ``vector_hits`` does.
+    Of each pair of blocks only its best are passed on, so rank them with ``ranked``.
+    Vectors with components that are null, not finite or of extreme size take the way of ``vector_hits``.
+    """
+    normed = lambda df, key: df.select("doc", key, F.col("embedding").alias("e"), F.size("embedding").alias("size"), V.norm(F.col("embedding")).alias("norm"))
+    plain = V.is_valid(F.col("e")) & F.col("norm").between(1e-100, 1e100)
+    v, q = normed(vectors, "pos").withColumn("plain", F.coalesce(plain, F.lit(False))), normed(queries, "query_id").withColumn("plain", F.coalesce(plain, F.lit(False)))
+    counts = lambda df, to: df.where("plain").groupBy("doc", "size").agg(F.ceil(F.count("*") * F.first("size") / BLOCK).cast("int").alias(to))
+    blocks = counts(v, "vs").join(counts(q, "qs"), ["doc", "size"])
+    block = lambda key, n: F.expr(f"cast(pmod(xxhash64({key}), {n}) AS int)")
+    all_of = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    left = v.where("plain").join(F.broadcast(blocks), ["doc", "size"]).select("doc", "size", "pos", "e", "norm", block("pos", "vs").alias("v"), all_of("qs").alias("q"))
+    right = q.where("plain").join(F.broadcast(blocks), ["doc", "size"]).select(F.col("doc").alias("to"), F.col("size").alias("of"), "query_id", "e", "norm", block("query_id", "qs").alias("r"), all_of("vs").alias("w"))
+    kinds = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
+    schema = D.StructType([D.StructField("doc", kinds["doc"]), D.StructField("query_id", kinds["query_id"]), D.StructField("pos", kinds["pos"]), D.StructField("similarity", D.DoubleType())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            i = j = np.zeros(0, np.int64)
+            s = np.zeros(0)
+        else:
+            size = a.column("size")[0].as_py()
+            i, j, s = _best(_matrix(b.column("e"), size), np.asarray(b.column("norm")), _matrix(a.column("e"), size), np.asarray(a.column("norm")), np.asarray(a.column("pos")), keep)
+        return pa.table({"doc": a.column("doc").take(pa.array(j)), "query_id": b.column("query_id").take(pa.array(i)), "pos": a.column("pos").take(pa.array(j)), "similarity": pa.array(s)})
+
+    near = left.groupBy("doc", "size", "v", "q").cogroup(right.groupBy("to", "of", "w", "r")).applyInArrow(meet, schema)
+    raw = lambda df, key, where: df.where(where).select("doc", key, F.col("e").alias("embedding"))
+    odd = vector_hits(raw(v, "pos", "NOT plain"), raw(q, "query_id", "true")).unionByName(vector_hits(raw(v, "pos", "plain"), raw(q, "query_id", "NOT plain")))
+    return near.unionByName(odd)
+
+
 def fuse(vector_ranked: DataFrame, lexical_ranked: DataFrame, keep: int) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists: (doc, query_id, pos, score, rank).
 

@@ -145,7 +145,7 @@ def _cosine(spark, sf, scoped):
     q = v.where("pos % 20 = 0").select("doc", F.col("pos").alias("query_id"), "embedding", "label")
     if scoped:  # only vectors of the query's label
         v, q = v.withColumn("doc", F.col("label")), q.withColumn("doc", F.col("label"))
-    return S.ranked(S.vector_hits(v, q), "similarity", 10).select("query_id", "rank", "pos", F.round("similarity", 6).alias("similarity"))
+    return S.ranked(S.nearest(v, q, 10), "similarity", 10).select("query_id", "rank", "pos", F.round("similarity", 6).alias("similarity"))
 
 
 @query(_COS.format(scope=""))

@@ -3,6 +3,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from folioloom.operators import search as S
 from folioloom.operators import structure as D
 from folioloom.plans import catalog
 
@@ -52,3 +53,25 @@ def test_page_ends_are_running_values(spark):
             end = next((p - (o == 0) for e, j, n, p, o in rows if e == d and j > i and n <= level), 99)
             assert got[d, i] == max(page, end)
     assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()  # such a frame is computed anew for each row
+
+
+def test_nearest_is_the_best_of_all_hits(spark):
+    r = random.Random(4)
+    some = [[float(r.randint(-2, 2)) for _ in range(4)] for _ in range(150)]  # many equal vectors and values
+    some += [[r.gauss(0, 1) for _ in range(4)] for _ in range(150)] + [[1.0, 2.0], [2.0, 1.0], [0.0] * 4, [], None, [1e200] * 4, [1.0, None, 2.0, 1.0]]
+    v = spark.createDataFrame([(i % 2, i, e) for i, e in enumerate(some)], "doc int, pos long, embedding array<double>")
+    q = v.where("pos % 5 = 0 OR pos > 298").withColumnRenamed("pos", "query_id")
+    best = lambda hits: sorted(str(tuple(x)) for x in S.ranked(hits, "similarity", 3).select("doc", "query_id", "rank", "pos", "similarity").collect())  # noqa: E731, not a number equals itself as text
+    near = S.nearest(v, q, 3).cache()
+    assert best(near) == best(S.vector_hits(v, q)) and near.count() < S.vector_hits(v, q).count() / 4
+
+
+def test_blocks_and_strips_lose_no_neighbour(spark, monkeypatch):
+    for name, n in {"BLOCK": 64 * 700, "ROWS": 7, "PAIRS": 640}.items():
+        monkeypatch.setattr(S, name, n)
+    sf = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.lit(0).alias("doc"), F.col("vec_id").alias("pos"), "embedding")
+    q = v.where("pos % 100 = 0").withColumnRenamed("pos", "query_id")
+    best = lambda hits: sorted(map(tuple, S.ranked(hits, "similarity", 10).select("query_id", "rank", "pos", "similarity").collect()))
+    assert best(S.nearest(v, q, 10)) == best(S.vector_hits(v, q))
+    assert "ArrowEval" not in (plan := QUERIES["cosine_topk"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) and "CoGroups" in plan
